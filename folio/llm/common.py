@@ -24,23 +24,32 @@ def scratch_root(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
+def write(df: DataFrame) -> tuple[DataFrame, str]:
+    """df, written once to the shared folder and read back, and where it lies."""
+    path = f"{scratch_root(df.sparkSession)}/folio-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back.
+    """df as a scratch table that release() deletes.
 
     This cuts the lineage, survives the loss of any executor, and, unlike checkpoint(), runs the plan once.
     """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/folio-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back, path = write(df)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    return back
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete this application's scratch tables; call it when what was built on them has been written."""
     for path in _written.pop(spark.sparkContext.applicationId, []):
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        delete(spark, path)
 
 
 def partitions(spark: SparkSession) -> int:

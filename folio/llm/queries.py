@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, html, lines, packing, secrets
+from . import chat, decontam, exact, html, lines, nearjoin, packing, quality, secrets, toxicity
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target text is that labelled as good; as large a share of all rows is drawn as labels call good."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    good = labels.agg(F.coalesce(F.avg((F.col("quality") == 1).cast("int")), F.lit(1.0)).alias("share")).first()["share"]
+    return quality.resample(docs, quality.fit(docs, labels.where("quality = 1")), good)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.dedup_lines(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -19,6 +31,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.near_join(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(table(spark, sf_dir, "documents"))
 
@@ -31,6 +47,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     ends = "<|im_end|><|im_start|>assistant ok"
@@ -54,7 +74,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), *tokenizer_files(), with_ids=False).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_html_extraction, op6_exact_dedup, op7_secret_scan, op9_chat_format, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_importance_resampling, op3_line_dedup, op4_html_extraction, op5_ngram_jaccard_join, op6_exact_dedup, op7_secret_scan, op8_benchmark_decontamination, op9_chat_format, op10_packing)}
 
 SPACES_SQL = r"[\x20\x09-\x0D]"
 ORACLES = {
