@@ -53,8 +53,11 @@ class Env:
         return replace(self, variables=self.variables | {name: value})
 
     def root(self) -> Typed:
-        col = self.base if self.base is not None else F.struct(*[quoted(n).alias(n) for n in self.schema.fieldNames()])
-        return Typed(col, self.schema, self.plain)
+        """The whole document; columns whose names begin with __ are the engine's own."""
+        if self.base is not None:
+            return Typed(self.base, self.schema, self.plain)
+        fields = [f for f in self.schema if not f.name.startswith("__")]
+        return Typed(F.struct(*[quoted(f.name).alias(f.name) for f in fields]), T.StructType(fields), self.plain)
 
     def field(self, path: str) -> Typed:
         segments = path.split(".")

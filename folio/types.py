@@ -139,8 +139,7 @@ def literal(value: object) -> Typed:
     if isinstance(value, (list, tuple)):
         items = [literal(x) for x in value]
         kind = unify([x.kind for x in items])
-        inner = T.StringType() if isinstance(kind, T.NullType) and not items else kind
-        return Typed(F.array(*[cast(x, kind) for x in items]) if items else F.array().cast(T.ArrayType(inner)), T.ArrayType(inner), constant=value)
+        return Typed(F.array(*[cast(x, kind) for x in items]), T.ArrayType(kind), constant=value)
     if isinstance(value, dict):
         parts = {k: literal(v) for k, v in value.items()}
         made = F.struct(*[v.col.alias(k) for k, v in parts.items()]) if parts else F.struct()
