@@ -270,13 +270,16 @@ def _add_to_set(arg: object, ctx: Context) -> Change:
         have, _, kind = _array_of(old, items)
         for item in items:
             v = literal(item)
-            there = F.exists(have, lambda x, v=v: F.coalesce(equal(Typed(x, kind), v), F.lit(False)))
-            have = F.when(there, have).otherwise(F.concat(have, F.array(cast(v, kind))))
+            have = F.when(_holds(have, kind, v), have).otherwise(F.concat(have, F.array(cast(v, kind))))
         return Typed(have, T.ArrayType(kind))
 
     return change
 
 
+def _holds(array: Column, kind: T.DataType, v: Typed) -> Column:
+    return F.exists(array, lambda x: F.coalesce(equal(Typed(x, kind), v), F.lit(False)))
+
+
 def _removal(test: Callable[[Typed], Column]) -> Change:
     def change(old: Typed) -> Typed:
         if old.missing or old.null:
