@@ -1,8 +1,8 @@
 """Chat formatting by schema fingerprints, in DataFrame operations only.
 
-A record's layout is the set of nested field paths that it has out of those the mappings know. The paths, sorted, are
-hashed; the hash selects a declarative mapping, which turns the layout into canonical turns (role, text). Turns are
-then written in one template with a loss mask, and can be read back from the output exactly.
+A record's fingerprint for a mapping is the hash of its nested field paths, sorted, out of those that the mapping names;
+the mapping of the most paths whose own hash it is turns the layout into canonical turns (role, text). Fields beyond it
+change nothing. Turns are then written in one template with a loss mask, and can be read back from the output exactly.
 """
 
 from __future__ import annotations
@@ -32,16 +32,16 @@ MAPPINGS: dict[str, dict] = {
 #: Roles of other layouts as canonical ones.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant"}
 
-KNOWN = sorted({p for m in MAPPINGS.values() for p in m["paths"]})
 LISTS = sorted({m["list"][0] for m in MAPPINGS.values() if "list" in m})
 
 
-def fingerprint(paths: list[str]) -> str:
-    """SHA-256 of the sorted known paths."""
-    return hashlib.sha256("\n".join(sorted(set(paths) & set(KNOWN))).encode()).hexdigest()
+def fingerprint(paths: list[str], named: list[str]) -> str:
+    """SHA-256 of the sorted paths out of those named."""
+    return hashlib.sha256("\n".join(sorted(set(paths) & set(named))).encode()).hexdigest()
 
 
-BY_PRINT = {fingerprint(m["paths"]): name for name, m in MAPPINGS.items()}
+#: Mappings by their own fingerprints, those of the most paths first.
+BY_PRINT = {fingerprint(m["paths"], m["paths"]): name for name, m in sorted(MAPPINGS.items(), key=lambda x: -len(x[1]["paths"]))}
 
 
 def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
@@ -54,13 +54,20 @@ def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
     return []
 
 
-def json_print(record: Column) -> Column:
-    """The fingerprint of a JSON record, computed row by row."""
+def json_paths(record: Column) -> Column:
+    """The nested field paths of a JSON record, computed row by row."""
     none = F.array().cast("array<string>")
     top = F.coalesce(F.json_object_keys(record), none)
-    within = [F.transform(F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{x}[0]")), none), lambda k, x=x: F.concat(F.lit(f"{x}[]."), k)) for x in LISTS]
-    known = F.array_intersect(F.array_distinct(F.concat(top, *within)), F.array(*map(F.lit, KNOWN)))
-    return F.sha2(F.array_join(F.array_sort(known), "\n"), 256)
+
+    def within(name: str) -> Column:
+        keys = F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), none)
+        return F.transform(keys, lambda k: F.concat(F.lit(f"{name}[]."), k))
+
+    return F.array_distinct(F.concat(top, *map(within, LISTS)))
+
+
+def print_of(paths: Column, named: list[str]) -> Column:
+    return F.sha2(F.array_join(F.array_sort(F.array_intersect(paths, F.array(*map(F.lit, named)))), "\n"), 256)
 
 
 def _canonical(role: Column) -> Column:
@@ -87,13 +94,13 @@ def _json_turns(record: Column, mapping: dict) -> Column:
 def from_json(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """(id_col, layout, turns) of JSON records of any mix of layouts; layout and turns are null where no mapping fits."""
     record = F.col(json_col)
-    printed = records.select(F.col(id_col), record.alias("__json"), json_print(record).alias("__print"))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
-    for mark, name in BY_PRINT.items():
+    parsed = records.select(F.col(id_col), record.alias("__json"), json_paths(record).alias("__paths"))
+    fits = F.coalesce(*[F.when(print_of(F.col("__paths"), MAPPINGS[name]["paths"]) == mark, F.lit(name)) for mark, name in BY_PRINT.items() if "rows" not in MAPPINGS[name]])
+    turns = F.lit(None).cast("array<struct<role:string,text:string>>")
+    for name in BY_PRINT.values():
         if "rows" not in MAPPINGS[name]:
-            layout = F.when(F.col("__print") == mark, F.lit(name)).otherwise(layout)
-            turns = F.when(F.col("__print") == mark, _json_turns(F.col("__json"), MAPPINGS[name])).otherwise(turns)
-    return printed.select(id_col, layout.alias("layout"), turns.alias("turns"))
+            turns = F.when(F.col("layout") == name, _json_turns(F.col("__json"), MAPPINGS[name])).otherwise(turns)
+    return parsed.withColumn("layout", fits).select(id_col, "layout", turns.alias("turns"))
 
 
 def from_table(records: DataFrame, id_col: str | None = None) -> DataFrame:
@@ -103,16 +110,17 @@ def from_table(records: DataFrame, id_col: str | None = None) -> DataFrame:
     turns are ordered by (turn, role, text), nulls first, so that ties and repeated rows have one defined order; a null
     role or text is empty, and roles stay as they are.
     """
-    name = BY_PRINT.get(fingerprint(schema_paths(records.schema)))
+    paths = schema_paths(records.schema)
+    name = next((name for mark, name in BY_PRINT.items() if fingerprint(paths, MAPPINGS[name]["paths"]) == mark), None)
     if name is None:
-        raise ValueError("no mapping fits these field paths: " + ", ".join(schema_paths(records.schema)))
+        raise ValueError("no mapping fits these field paths: " + ", ".join(paths))
     mapping = MAPPINGS[name]
     if "rows" in mapping:
         conv, turn, role, text = mapping["rows"]
         row = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
         by = records.groupBy(F.col(conv).alias("conv_id")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
         return by.select("conv_id", F.lit(name).alias("layout"), F.transform("rows", lambda x: _turn(x["role"], x["text"])).alias("turns"))
-    names = [f.name for f in records.schema if f.name in KNOWN]
+    names = sorted({p.split("[")[0] for p in mapping["paths"]})
     packed = records.select(F.col(id_col), F.to_json(F.struct(*names)).alias("__json"))
     return packed.select(id_col, F.lit(name).alias("layout"), _json_turns(F.col("__json"), mapping).alias("turns"))
 

@@ -66,6 +66,11 @@ def id_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("null"))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ...: names of any kind then pass through Python functions over rows."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
     """rows LEFT JOIN groups on keys, where one key may hold a large share of all rows.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import numbered, text_of
 
 WORD = re.compile(r"\w+")
 #: Characters of a q-gram, of a segment, from one segment to the next; edits allowed for a character of a segment.
@@ -205,15 +205,14 @@ def _clean(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Recor
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
-            bad = {m[0] for m in matches([normal(t or "") for t in part.column("__text").to_pylist()], index)}
+            bad = {m[0] for m in matches([normal(t) for t in part.column("__text").to_pylist()], index)}
             yield part.take(pa.array([i for i in range(part.num_rows) if i not in bad], pa.int64()))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without the rows that find() reports, all columns as they were; rows are filtered where they are."""
-    spark = docs.sparkSession
+    rows = numbered(docs).withColumn("__text", text_of(f"c{docs.columns.index(text_col)}"))
     for index in _parts(benchmark, item_col, item_text):
-        sent = spark.sparkContext.broadcast(index)
-        marked = docs.select("*", text_of(text_col).alias("__text"))
-        docs = marked.mapInArrow(lambda it, sent=sent: _clean(it, sent.value), marked.schema).drop("__text")
-    return docs
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+        rows = rows.mapInArrow(lambda it, sent=sent: _clean(it, sent.value), rows.schema)
+    return rows.drop("__text").toDF(*docs.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, text_of
+from .common import materialise, numbered, text_of
 
 WORD = re.compile(r"\w+")
 DIM = 1 << 20
@@ -171,8 +171,10 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
 
 
 def _with_score(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
-    marked = docs.withColumn("__text", text_of(text_col))
-    return marked.mapInArrow(lambda it: _scored(it, model), T.StructType([*marked.schema, T.StructField("__score", T.DoubleType())])).drop("__text")
+    """docs and a column __score."""
+    rows = numbered(docs).withColumn("__text", text_of(f"c{docs.columns.index(text_col)}"))
+    made = rows.mapInArrow(lambda it: _scored(it, model), T.StructType([*rows.schema, T.StructField("__score", T.DoubleType())]))
+    return made.drop("__text").toDF(*docs.columns, "__score")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
