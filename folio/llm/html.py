@@ -34,42 +34,51 @@ CLOSES = {t: ({"p"}, {"td", "th", "button", "table"}) for t in BLOCKS - {"html",
 }
 #: Containers that are no article text whatever they hold.
 NEVER = set("head nav footer aside form script style noscript template svg math select button iframe object canvas audio video textarea input label dialog menu".split())
-CALLED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|adbox|banner|breadcrumbs?|comments?|commentlist|respond|reply|replies|disqus|cookies?|consent|gdpr|notice|alert|footer|header|masthead|menu|nav|navbar|navigation|newsletter|subscribe|signup|login|popup|modal|overlay|promo\w*|sponsor\w*|related|recommend\w*|share|sharing|social|sidebar|side-bar|skip|toolbar|widget|pagination|pager|copyright|legal|outbrain|taboola)(?=$|[\s_-])", re.I)
+#: Names (class or id) of boxes that are no article text, and those of them that name a whole page's layout as well:
+#: an article within such a box counts again.
+CALLED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|adbox|banner|breadcrumbs?|comments?|commentlist|respond|reply|replies|disqus|cookies?|consent|gdpr|notices?|alert|footer|header|masthead|menu|nav|navbar|navigation|newsletter|subscribe|signup|login|popup|modal|overlay|promo\w*|sponsor\w*|related|recommend\w*|share|sharing|social|sidebar|skip|toolbar|widget|pagination|pager|copyright|legal|outbrain|taboola)(?=$|[\s_-])", re.I)
+LAYOUT = re.compile(r"header|footer|menu|nav|sidebar|banner|notice|widget|share|social|login", re.I)
+#: Within an article, headers hold its heading.
+HEADING = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?=$|[\s_-])", re.I)
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 MAIN = set("article main".split())
 
+#: Tags whose names say nothing of what is in them.
+NAMELESS = re.compile(r"html|body|h[1-6]|article|main")
 #: A path is content from this share of the page's best fused score; outside the page's article, scores count this much.
 SHARE, OUTSIDE = 0.35, 0.3
 
 
 class _Node:
-    __slots__ = ("tag", "path", "never", "main", "box", "link")
+    __slots__ = ("tag", "path", "never", "soft", "main", "box", "link")
 
-    def __init__(self, tag: str, up: _Node | None, attributes: str) -> None:
-        called, never = "", tag in NEVER
+    def __init__(self, tag: str, up: _Node | None, attributes: str, by_name: bool = True) -> None:
+        self.tag = tag
+        self.main = bool(up and up.main) or tag in MAIN
+        called, never, soft = "", tag in NEVER, True
         if attributes:
             for m in NAME.finditer(attributes):
                 kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if kind in ("class", "id"):
                     called += " " + value
-                    # An article's own page or list may be named by its parts ("post-header"); what counts is a box.
-                    never |= tag not in ("html", "body", *MAIN) and bool(CALLED.search(value))
-                elif kind == "role":
-                    never |= value.lower() in ROLES
-                elif kind == "hidden" or value.lower() == "true":
-                    never = True
-        self.tag = tag
+                    if by_name and not never and (found := CALLED.search(HEADING.sub(" ", value) if self.main else value)) and not NAMELESS.fullmatch(tag):
+                        never, soft = True, bool(LAYOUT.search(found[0]))
+                elif kind == "role" and value.lower() in ROLES or kind == "hidden" or kind == "aria-hidden" and value.lower() == "true":
+                    never, soft = True, False
         name = tag + "".join("." + x for x in sorted(set(re.sub(r"\d+", "", called).split())))
         self.path = f"{up.path}/{name}" if up else name
-        self.main = bool(up and up.main) or tag in MAIN
         # A header above the article is the page's; one within it holds the article's heading.
-        self.never = bool(up and up.never) or never or (tag == "header" and not self.main)
+        never |= tag == "header" and not self.main
+        kept = bool(up and up.never) and not (tag in MAIN and up.soft and not up.main)
+        self.never = kept or never
+        self.soft = (not kept or up.soft) and (not never or soft and tag not in NEVER)
         self.link = bool(up and up.link) or tag == "a"
         self.box = self if tag in BLOCKS or up is None else up.box
 
 
-def blocks(page: str) -> list[tuple[_Node, str, int]]:
-    """The page's blocks in order: their node, their text and how much of it is in links. Boxes that never count are left out."""
+def blocks(page: str, by_name: bool = True) -> list[tuple[_Node, str, int]]:
+    """The page's blocks in order: their node, their text and how much of it is in links. Boxes that never count are left
+    out, those by name only if asked."""
     stack, out = [_Node("", None, "")], []
     parts: list[str] = []
     links, at, n = 0, 0, len(page)
@@ -130,7 +139,7 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
             if tag == "br":
                 text(" ")
             continue
-        node = _Node(tag, stack[-1], m[3] or m[6] or "")
+        node = _Node(tag, stack[-1], m[3] or m[6] or "", by_name)
         if tag in RAW:
             end = RAW[tag].search(page, at)
             at = end.end() if end else n
@@ -165,7 +174,7 @@ def scores(found: list[tuple[_Node, str, int]]) -> dict[str, float]:
 
 def extract(page: str) -> str:
     """The article's blocks, joined by newlines."""
-    found = blocks(page)
+    found = blocks(page) or blocks(page, False)  # a page whose every box is named for what it isn't is read by its tags
     if not found:
         return ""
     fused = scores(found)

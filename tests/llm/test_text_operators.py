@@ -66,6 +66,12 @@ def test_pages_without_an_article_tag():
     assert html.extract(page) == "\n".join(f"{prose(k, 60)}, and then; {prose(k + 9, 30)}." for k in range(4))
 
 
+def test_names_of_layouts_and_headings():
+    art = "<div class=post-header><h1 class=header>Title</h1></div><p>Words here, and more; of them. Yes.</p><section class=comments><article class=comment><p>Nice, thanks. I agree.</p></article></section>"
+    assert html.extract(f"<body class=has-sidebar><div class='page sidebar-right'><article>{art}</article></div></body>") == "Title\nWords here, and more; of them. Yes."
+    assert html.extract("<div class=menu-page><p>All of it, in here.</p></div>") == "All of it, in here."
+
+
 @pytest.mark.parametrize("page", ["", "plain words", "<p", "<p>a", "</p></p>", "<!-- open", "<script>never", "<a href='>x", "< p>1 < 2</p>", "<p>" * 500 + "deep" + "</p>" * 500, "&#0;&bogus;&#xD800;"])
 def test_broken_pages(page):
     assert isinstance(html.extract(page), str)
