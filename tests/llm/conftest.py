@@ -1,18 +1,11 @@
 import pytest
 
-#: Rows that every operator must take: null and empty texts, ties, repeated rows, null ids, and a very long text.
-WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
-
-
-def prose(seed: int, n: int) -> str:
-    import random
-
-    r = random.Random(seed)
-    return " ".join(r.choice(WORDS) + r.choice(["", "", "s", "ing"]) for _ in range(n))
+from llm_texts import prose
 
 
 @pytest.fixture(scope="session")
 def odd_rows():
+    """Rows that every operator must take: null and empty texts, ties, repeated rows, null ids, and a very long text."""
     long = prose(1, 60_000)
     return [(1, None), (2, ""), (3, "  \n\t"), (4, prose(2, 50)), (4, prose(2, 50)), (5, prose(2, 50)), (None, prose(2, 50)), (6, long), (7, "one"), (8, "ünïcode  text \U0001f600"), (None, None)]
 

@@ -119,7 +119,7 @@ def test_curve_visits_neighbours():
 
 
 def test_like_documents_share_cells():
-    from conftest import prose
+    from llm_texts import prose
 
     onto = packing.projection()
     a, b = prose(1, 400), prose(1, 400) + " end"

@@ -2,7 +2,7 @@ import random
 import re
 
 import numpy as np
-from conftest import prose
+from llm_texts import prose
 
 from folio.llm import nearjoin as N
 

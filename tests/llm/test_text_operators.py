@@ -5,7 +5,7 @@ import random
 import re
 
 import pytest
-from conftest import prose
+from llm_texts import prose
 from pyspark.sql import functions as F
 
 from folio.llm import decontam, html, quality, secrets, toxicity
