@@ -499,6 +499,19 @@ class Database:
                 names |= {f.getPath().getName() for f in at._fs().listStatus(at._at())}
         return sorted(names)
 
+    def checkpoint(self, keep: int = 1) -> None:
+        """Delete the versions of stored collections that newer ones have replaced, but for the last `keep`."""
+        for name in self.list_collections():
+            held = self.get(name)
+            if held is not None and held._store:
+                held._store.vacuum(keep)
+
+    def backup(self, path: str) -> None:
+        """Copy every collection's documents below a folder."""
+        for name in self.list_collections():
+            if (held := self.get(name)) is not None:
+                held.backup(f"{path.rstrip('/')}/{name}")
+
     def drop(self) -> None:
         for name in self.list_collections():
             self.drop_collection(name)
@@ -534,3 +547,8 @@ class Client:
     def drop_database(self, name: str) -> None:
         self.database(name).drop()
         self._databases.pop(name, None)
+
+    def close(self) -> None:
+        """Forget open cursors and handles; every commit is on disk already."""
+        self.cursors.clear()
+        self._databases.clear()

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import struct
 from collections.abc import Iterator
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .errors import BadValue, UnsupportedOperator
+from .operators.filters import BACKTRACKING
 from .types import RANK
 
 #: A missing value sorts and groups with null, and equals it in filters.
@@ -96,6 +98,14 @@ def matches(doc: dict, query: dict) -> bool:
 def _holds(v: object, arg: object) -> bool:
     if not (isinstance(arg, dict) and any(k.startswith("$") for k in arg)):
         return _equals(v, arg)
+    if "$regex" in arg:
+        flags = arg.get("$options", "")
+        if set(flags) - set("imsxlu"):
+            raise BadValue(f"unknown $options {flags!r}")
+        named = "".join(sorted(set(flags) & set("imsx")))
+        # Without m, $ is the very end of the text.
+        body = arg["$regex"] if "m" in flags else re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]|\$", lambda m: r"\Z" if m[0] == "$" else m[0], arg["$regex"])
+        arg = {k: x for k, x in arg.items() if k != "$options"} | {"$regex": f"(?{named}){body}" if named else body}
     return all(_operator(v, op, x) for op, x in arg.items())
 
 
@@ -129,6 +139,13 @@ def _operator(v: object, op: str, arg: object) -> bool:
         return isinstance(v, list) and any(_holds(x, arg) if any(k.startswith("$") for k in arg) else isinstance(x, dict) and matches(x, arg) for x in v)
     if op == "$type":
         return type_name(v) in (arg if isinstance(arg, list) else [arg])
+    if op == "$mod":
+        by, rest = (int(x) for x in arg)
+        return _any(v, lambda x: isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x) and int(math.fmod(int(x), by)) == rest)
+    if op == "$regex":
+        if BACKTRACKING.search(arg):
+            raise BadValue("look-around, back references and possessive repetition are not supported")
+        return _any(v, lambda x: isinstance(x, str) and re.search(arg, x) is not None)
     raise UnsupportedOperator(f"unsupported filter {op} on documents of mixed types")
 
 
