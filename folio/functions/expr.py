@@ -77,9 +77,14 @@ def truthy(v: Typed) -> Column:
 
 
 def condition(e: object, env: Env) -> Column:
-    """Truth of an expression as a filter's predicate: null may stand for false."""
-    v = compile_expr(e, env)
-    return v.col if isinstance(v.kind, T.BooleanType) else truthy(v)
+    """Truth of an expression as a filter's predicate: null may stand for false, so comparisons stay bare for the scan."""
+    if isinstance(e, dict) and len(e) == 1:
+        name, arg = next(iter(e.items()))
+        if name in COMPARISONS:
+            return COMPARISONS[name](*_args(arg, env, 2, 2, name))
+        if name == "$and" and isinstance(arg, (list, tuple)) and arg:
+            return reduce(Column.__and__, [condition(x, env) for x in arg])
+    return truthy(compile_expr(e, env))
 
 
 def _args(arg: object, env: Env, low: int, high: int | None, name: str) -> list[Typed]:
@@ -142,16 +147,17 @@ def _literal(arg: object, env: Env) -> Typed:
 # -- comparison and logic
 
 
-def _comparison(name: str, build: Callable[[Typed, Typed], Column]) -> None:
-    OPERATORS[name] = lambda arg, env: Typed(build(*_args(arg, env, 2, 2, name)), BOOL)
+COMPARISONS: dict[str, Callable[[Typed, Typed], Column]] = {
+    "$eq": equal, "$ne": lambda a, b: ~F.coalesce(equal(a, b), F.lit(False)), "$lt": less, "$lte": lambda a, b: less(a, b, True), "$gt": lambda a, b: less(b, a), "$gte": lambda a, b: less(b, a, True),
+}
 
 
-_comparison("$eq", equal)
-_comparison("$ne", lambda a, b: ~F.coalesce(equal(a, b), F.lit(False)))
-_comparison("$lt", less)
-_comparison("$lte", lambda a, b: less(a, b, True))
-_comparison("$gt", lambda a, b: less(b, a))
-_comparison("$gte", lambda a, b: less(b, a, True))
+def _comparison(name: str) -> None:
+    OPERATORS[name] = lambda arg, env: Typed(F.coalesce(COMPARISONS[name](*_args(arg, env, 2, 2, name)), F.lit(False)), BOOL)
+
+
+for _name in COMPARISONS:
+    _comparison(_name)
 
 
 @operator("$cmp")

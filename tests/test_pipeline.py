@@ -14,7 +14,7 @@ VALUES = [
     ({"$add": ["$i", 1, "$f"]}, 10.5), ({"$add": ["$i", None]}, None), ({"$add": ["$d", 1000]}, D + dt.timedelta(seconds=1)), ({"$subtract": ["$d", dt.datetime(2021, 3, 15)]}, 49530250), ({"$subtract": ["$i", "$n"]}, 10),
     ({"$multiply": ["$i", "$n"]}, -21), ({"$divide": ["$i", 2]}, 3.5), ({"$mod": ["$n", 2]}, -1), ({"$mod": ["$f", 2]}, 0.5), ({"$pow": ["$i", 2]}, 49), ({"$pow": [2, -1]}, 0.5), ({"$abs": "$n"}, 3), ({"$ceil": "$f"}, 3.0),
     ({"$floor": -2.5}, -3.0), ({"$trunc": -2.5}, -2.0), ({"$round": "$f"}, 2.0), ({"$round": [3.5]}, 4.0), ({"$round": [1234.5, -2]}, 1200.0), ({"$round": [1250, -2]}, 1200), ({"$sqrt": 16}, 4.0), ({"$ln": 1}, 0.0), ({"$log10": 100}, 2.0), ({"$exp": 0}, 1.0),
-    ({"$eq": ["$i", 7.0]}, True), ({"$eq": ["$zz", None]}, True), ({"$ne": ["$s", 1]}, True), ({"$gt": ["$s", 1]}, True), ({"$lt": ["$z", -5]}, True), ({"$gte": ["$t", [3]]}, True), ({"$cmp": ["$i", "$f"]}, 1), ({"$cmp": ["$zz", "$z"]}, 0),
+    ({"$eq": ["$i", 7.0]}, True), ({"$eq": ["$zz", None]}, True), ({"$ne": ["$s", 1]}, True), ({"$gt": ["$s", 1]}, True), ({"$lt": ["$z", -5]}, True), ({"$gte": ["$t", [3]]}, True), ({"$eq": ["$z", "q"]}, False), ({"$gt": ["$z", "q"]}, False), ({"$cmp": ["$i", "$f"]}, 1), ({"$cmp": ["$zz", "$z"]}, 0),
     ({"$and": ["$i", "$e"]}, True), ({"$and": []}, True), ({"$or": ["$z", 0]}, False), ({"$not": ["$z"]}, True), ({"$cond": ["$b", "y", "n"]}, "y"), ({"$cond": {"if": "$z", "then": 1, "else": 2.5}}, 2.5),
     ({"$ifNull": ["$z", "$zz", "d"]}, "d"), ({"$switch": {"branches": [{"case": {"$gt": ["$i", 9]}, "then": 1}, {"case": True, "then": 2}]}}, 2), ({"$concat": ["$s", "!", "$e"]}, "Hello!"), ({"$concat": ["$s", "$z"]}, None),
     ({"$toUpper": "$s"}, "HELLO"), ({"$toLower": "$z"}, None), ({"$strLenCP": "é\U0001f600"}, 2), ({"$substrCP": ["$s", 1, 3]}, "ell"), ({"$substrCP": ["$z", 0, 3]}, ""), ({"$substrCP": ["$s", 9, 3]}, ""), ({"$split": ["a.b..c", "."]}, ["a", "b", "", "c"]),
