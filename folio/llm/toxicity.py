@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, numbered, text_of
+from .common import materialise, numbered, partitions, text_of
 
 WORD = re.compile(r"\w+")
 DIM = 1 << 20
@@ -49,7 +49,7 @@ def pieces(word: str) -> np.ndarray:
 class Cache(dict):
     """What a function gives for words; emptied when full, so it is bounded on any corpus."""
 
-    def __init__(self, make, most: int = 200_000) -> None:
+    def __init__(self, make: Callable, most: int = 100_000) -> None:
         self.make, self.most = make, most
 
     def __missing__(self, word: str):
@@ -59,9 +59,10 @@ class Cache(dict):
         return got
 
 
-def features(text: str, cache: Cache) -> bytes:
-    """The features of a document's distinct words, each as often as words have it (u32 numbers)."""
-    return b"".join(map(cache.__getitem__, set(WORD.findall(text.lower()))))
+def features(text: str, cache: Cache) -> np.ndarray:
+    """The features of a document's distinct words, each as often as words have it."""
+    held = [cache[w] for w in set(WORD.findall(text.lower()))]
+    return np.concatenate(held) if held else np.zeros(0, "u4")
 
 
 @dataclass
@@ -114,18 +115,11 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = Cache(lambda w: pieces(w).tobytes())
-    for batch in batches:
-        made = [features(t, cache) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(made, pa.binary())], ["toxic", "feats"])
-
-
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, DIM), "i8")
+    counts, cache = np.zeros((2, DIM), "i8"), Cache(pieces)
     for batch in batches:
-        for toxic, feats in zip(batch.column("toxic").to_pylist(), batch.column("feats").to_pylist()):
-            counts[int(toxic)][np.unique(np.frombuffer(feats, "u4"))] += 1
+        for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
+            counts[int(toxic)][np.unique(features(text, cache))] += 1
     seen = np.flatnonzero(counts.sum(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[1][seen]), pa.array(counts[0][seen])], ["feature", "pos", "unl"])
 
@@ -133,9 +127,15 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _placed(batches: Iterator[pa.RecordBatch], chosen: list[int]) -> Iterator[pa.RecordBatch]:
     place = np.full(DIM, -1, "i4")
     place[chosen] = np.arange(len(chosen))
+
+    def held(word: str) -> np.ndarray:
+        at = place[pieces(word)]
+        return at[at >= 0]
+
+    cache = Cache(held)
     for batch in batches:
-        rows = [place[np.frombuffer(f, "u4")] for f in batch.column("feats").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([r[r >= 0].tobytes() for r in rows], pa.binary())], ["toxic", "at"])
+        made = [features(t, cache).astype("i4").tobytes() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(made, pa.binary())], ["toxic", "at"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -152,7 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     named = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).where(~held_out("id"))
     positive = named.join(F.broadcast(picked), "id").select(F.lit(True).alias("toxic"), "text")
     other = named.where(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 30)) / (1 << 30) <= 1.1 * UNLABELLED / n_docs).limit(UNLABELLED).select(F.lit(False).alias("toxic"), "text")
-    sample = materialise(positive.union(other).mapInArrow(_featured, "toxic boolean, feats binary"))
+    # Texts, not features, lie in the scratch table: these would be several times as large. The limits left few partitions.
+    sample = materialise(positive.union(other).repartition(partitions(docs.sparkSession), F.xxhash64("text")))
     n_pos, n_unl = sample.agg(F.count(F.when(F.col("toxic"), 1)), F.count(F.when(~F.col("toxic"), 1))).first()
     prior = n_toxic / n
     counts = sample.mapInArrow(_frequencies, "feature long, pos long, unl long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("unl").alias("unl"))
@@ -163,18 +164,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(*split, chosen, prior)
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], model: Model, text: int) -> Iterator[pa.RecordBatch]:
     cache = Cache(model.word)
     for batch in batches:
-        made = [model.score(t, cache) for t in batch.column("__text").to_pylist()]
+        made = [model.score(t or "", cache) for t in batch.column(text).to_pylist()]
         yield batch.append_column("__score", pa.array(made, pa.float64()))
 
 
 def _with_score(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
     """docs and a column __score."""
-    rows = numbered(docs).withColumn("__text", text_of(f"c{docs.columns.index(text_col)}"))
-    made = rows.mapInArrow(lambda it: _scored(it, model), T.StructType([*rows.schema, T.StructField("__score", T.DoubleType())]))
-    return made.drop("__text").toDF(*docs.columns, "__score")
+    rows, text = numbered(docs), docs.columns.index(text_col)
+    made = rows.mapInArrow(lambda it: _scored(it, model, text), T.StructType([*rows.schema, T.StructField("__score", T.DoubleType())]))
+    return made.toDF(*docs.columns, "__score")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
