@@ -201,18 +201,18 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "start", "end", "edits")
 
 
-def _clean(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+def _clean(batches: Iterator[pa.RecordBatch], index: Index, text: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
-            bad = {m[0] for m in matches([normal(t) for t in part.column("__text").to_pylist()], index)}
+            bad = {m[0] for m in matches([normal(t or "") for t in part.column(text).to_pylist()], index)}
             yield part.take(pa.array([i for i in range(part.num_rows) if i not in bad], pa.int64()))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without the rows that find() reports, all columns as they were; rows are filtered where they are."""
-    rows = numbered(docs).withColumn("__text", text_of(f"c{docs.columns.index(text_col)}"))
+    rows, text = numbered(docs), docs.columns.index(text_col)
     for index in _parts(benchmark, item_col, item_text):
         sent = docs.sparkSession.sparkContext.broadcast(index)
-        rows = rows.mapInArrow(lambda it, sent=sent: _clean(it, sent.value), rows.schema)
-    return rows.drop("__text").toDF(*docs.columns)
+        rows = rows.mapInArrow(lambda it, sent=sent: _clean(it, sent.value, text), rows.schema)
+    return rows.toDF(*docs.columns)
