@@ -71,14 +71,15 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int | None = None) -> DataFrame:
     """rows LEFT JOIN groups on keys, where one key may hold a large share of all rows.
 
     groups has one row a key and in `size` how many rows hold it. Groups with over 1/HOT_GROUPS of the rows number
     fewer than HOT_GROUPS by counting, so they are broadcast; what the others hold is dealt out by key, and no key
-    of theirs is large. Every row meets its group in one of the two joins.
+    of theirs is large. Every row meets its group in one of the two joins. total is the sum of size, if it is known.
     """
-    total = groups.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+    if total is None:
+        total = groups.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
     bar = max(1.0, total / HOT_GROUPS)
     values = [c for c in groups.columns if c not in keys]
     at = [f"__k{i}" for i in range(len(keys))]
@@ -99,11 +100,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
 
     current = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    seen = (current.count(), None)
     while True:
         both = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        # A node may have a large share of all edges: it is the smallest of its group, or of many prefixes.
+        met = join_groups(both, least, ["a"], "n", 2 * seen[0])
+        large = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("x"), "a", "m")
         after = small.select(F.col("x").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
