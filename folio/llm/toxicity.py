@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, text: int) -> Iterator[pa.RecordBatch]:
-    cache = Cache(model.word)
+    cache = Cache(model.word, 200_000)
     for batch in batches:
         made = [model.score(t or "", cache) for t in batch.column(text).to_pylist()]
         yield batch.append_column("__score", pa.array(made, pa.float64()))
