@@ -150,10 +150,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     draw = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / (1 << 30)
     picked = known.where("toxic").where(draw <= 1.1 * POSITIVES / n_toxic).select("id").distinct().limit(POSITIVES)
     named = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).where(~held_out("id"))
-    positive = named.join(F.broadcast(picked), "id").select(F.lit(True).alias("toxic"), "text")
-    other = named.where(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 30)) / (1 << 30) <= 1.1 * UNLABELLED / n_docs).limit(UNLABELLED).select(F.lit(False).alias("toxic"), "text")
+    positive = named.join(F.broadcast(picked), "id").select(F.lit(True).alias("toxic"), "id", "text")
+    other = named.where(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 30)) / (1 << 30) <= 1.1 * UNLABELLED / n_docs).limit(UNLABELLED).select(F.lit(False).alias("toxic"), "id", "text")
     # Texts, not features, lie in the scratch table: these would be several times as large. The limits left few partitions.
-    sample = materialise(positive.union(other).repartition(partitions(docs.sparkSession), F.xxhash64("text")))
+    sample = materialise(positive.union(other).repartition(partitions(docs.sparkSession), F.xxhash64("id", "text")).drop("id"))
     n_pos, n_unl = sample.agg(F.count(F.when(F.col("toxic"), 1)), F.count(F.when(~F.col("toxic"), 1))).first()
     prior = n_toxic / n
     counts = sample.mapInArrow(_frequencies, "feature long, pos long, unl long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("unl").alias("unl"))
