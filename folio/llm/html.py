@@ -2,8 +2,9 @@
 
 A page is cut into blocks of text, each with the path of tags from the root. For every path the page's text, link text
 and punctuation are summed over its blocks; their ratios make a score, which is smoothed over the blocks in page order,
-fused with the best score under the same container, and compared with a share of the page's best. Containers that name
-themselves (nav, footer, class="ad", ...) count as what they say.
+fused with the best score under the same container, and compared with a share of the page's best. Scores choose among
+articles and the paths outside them: of an article (or main) that holds a path of enough score, every block is kept, be
+it a list, a table or a heading. Containers that name themselves (nav, footer, class="ad", ...) count as what they say.
 """
 
 from __future__ import annotations
@@ -45,12 +46,13 @@ MAIN = set("article main".split())
 
 #: Tags whose names say nothing of what is in them.
 NAMELESS = re.compile(r"html|body|h[1-6]|article|main")
-#: A path is content from this share of the page's best fused score; outside the page's article, scores count this much.
+#: A path, or the article it is in, is content from this share of the page's best fused score; outside the page's
+#: article, scores count this much.
 SHARE, OUTSIDE = 0.35, 0.3
 
 
 class _Node:
-    __slots__ = ("tag", "path", "never", "soft", "main", "box", "link")
+    __slots__ = ("tag", "path", "never", "soft", "main", "article", "within", "box", "link")
 
     def __init__(self, tag: str, up: _Node | None, attributes: str, by_name: bool = True) -> None:
         self.tag = tag
@@ -67,6 +69,10 @@ class _Node:
                     never, soft = True, False
         name = tag + "".join("." + x for x in sorted(set(re.sub(r"\d+", "", called).split())))
         self.path = f"{up.path}/{name}" if up else name
+        # The outermost article that the node is in, or else the outermost main.
+        self.article = bool(up and up.article) or tag == "article"
+        held = bool(up and up.main and up.article == self.article)
+        self.within = up.within if held else self.path if self.main else ""
         # A header above the article is the page's; one within it holds the article's heading.
         never |= tag == "header" and not self.main
         kept = bool(up and up.never) and not (tag in MAIN and up.soft and not up.main)
@@ -179,10 +185,13 @@ def extract(page: str) -> str:
         return ""
     fused = scores(found)
     main = {node.path for node, _, _ in found if node.main}
+    chosen: set[str] = set()
     if main and max(fused[p] for p in main) >= SHARE * max(fused.values()):
         fused = {p: s if p in main else s * OUTSIDE for p, s in fused.items()}
+        bar = SHARE * max(fused.values())
+        chosen = {node.within for node, _, _ in found if node.main and fused[node.path] >= bar}
     bar = SHARE * max(fused.values())
-    return "\n".join(words for node, words, _ in found if fused[node.path] >= bar)
+    return "\n".join(words for node, words, _ in found if node.within in chosen or fused[node.path] >= bar)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,6 +72,17 @@ def test_names_of_layouts_and_headings():
     assert html.extract("<div class=menu-page><p>All of it, in here.</p></div>") == "All of it, in here."
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_short_blocks_of_an_article_are_kept(tag):
+    long = [f"{prose(k, 40)}, and; {prose(k + 9, 30)}. So, it is: yes." * 2 for k in range(5)]
+    items, cells = [f"item {k} of a plain list" for k in range(10)], [f"cell {k}" for k in range(6)]
+    table = "<table><tr>" + "</tr><tr>".join(f"<td>{a}</td><td>{b}</td>" for a, b in zip(cells[::2], cells[1::2])) + "</tr></table>"
+    lines = [f"<p>{x}</p>" for x in long]
+    art = "<h1>Head</h1>" + "".join(lines[:3]) + "<ul>" + "".join(f"<li>{x}</li>" for x in items) + f"</ul><h2>Sub</h2>{table}<pre>x = 1</pre>" + "".join(lines[3:])
+    page = f"<body><div><ul><li><a href=x>Elsewhere</a></ul></div><{tag}>{art}<div class=share>Share it</div></{tag}><div>Beneath</div></body>"
+    assert html.extract(page).split("\n") == ["Head", *long[:3], *items, "Sub", *cells, "x = 1", *long[3:]]
+
+
 @pytest.mark.parametrize("page", ["", "plain words", "<p", "<p>a", "</p></p>", "<!-- open", "<script>never", "<a href='>x", "< p>1 < 2</p>", "<p>" * 500 + "deep" + "</p>" * 500, "&#0;&bogus;&#xD800;"])
 def test_broken_pages(page):
     assert isinstance(html.extract(page), str)
