@@ -30,6 +30,8 @@ from .common import materialise, numbered, partitions, text_of
 WORD = re.compile(r"\w+")
 DIM = 1 << 20
 LOW, HIGH = 4, 5
+#: Characters of the longest word that is cached, and of a part of a word whose pieces are held at a time.
+LONG, CHUNK = 64, 1 << 16
 #: A feature needs this many of the sampled positives, or this share of them, and to be toxic text's to this share.
 LEAST, PART, PURITY = 5, 0.02, 0.75
 #: Bounds on the training sample, in documents.
@@ -40,19 +42,26 @@ STEPS, RATE, DECAY = 1500, 0.1, 1e-5
 
 
 def pieces(word: str) -> np.ndarray:
-    """Feature numbers of a word."""
-    marked = f"^{word[:64]}$"
-    found = {marked} | {marked[i : i + n] for n in range(LOW, HIGH + 1) for i in range(len(marked) - n + 1)}
-    return np.fromiter({zlib.crc32(x.encode("utf-8", "surrogatepass")) % DIM for x in found}, "u4")
+    """Feature numbers of a word, which is a whole clause where text has no spaces."""
+    marked = f"^{word}$"
+    found = {zlib.crc32(marked.encode("utf-8", "surrogatepass")) % DIM}
+    for at in range(0, len(marked), CHUNK):  # all pieces that begin in these characters
+        part = marked[at : at + CHUNK + HIGH - 1]
+        grams = {part[i : i + n] for n in range(LOW, HIGH + 1) for i in range(len(part) - n + 1)}
+        found.update(zlib.crc32(x.encode("utf-8", "surrogatepass")) % DIM for x in grams)
+    return np.fromiter(found, "u4", len(found))
 
 
 class Cache(dict):
-    """What a function gives for words; emptied when full, so it is bounded on any corpus."""
+    """What a function gives for words; emptied when full, and without the words of over LONG characters, so it is
+    bounded on any corpus."""
 
     def __init__(self, make: Callable, most: int = 100_000) -> None:
         self.make, self.most = make, most
 
     def __missing__(self, word: str):
+        if len(word) > LONG:
+            return self.make(word)
         if len(self) >= self.most:
             self.clear()
         got = self[word] = self.make(word)

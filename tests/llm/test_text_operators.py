@@ -176,6 +176,21 @@ def test_toxicity_on_held_out_rows(make, labelled):
     assert kept.columns == df.columns and abs(kept.count() - 1050) < 20
 
 
+def test_toxic_terms_in_long_runs(make, labelled, monkeypatch):
+    docs, labels = labelled
+    model = toxicity.fit(make(docs), labels)
+    clean = prose(77, 400).replace(" ", "")
+    for text in (clean, clean[:63], clean + "gammas"):
+        assert toxicity.score(make([(1, text)]), model).first().predicted == 0
+    for at in (0, 60, 64, 65, 1000, len(clean)):
+        assert toxicity.score(make([(1, clean[:at] + "".join(BAD) + clean[at:])]), model).first().predicted == 1
+    whole = set(toxicity.pieces(clean).tolist())
+    monkeypatch.setattr(toxicity, "CHUNK", 7)
+    assert set(toxicity.pieces(clean).tolist()) == whole
+    cache = toxicity.Cache(toxicity.pieces)
+    assert len(toxicity.features(clean, cache)) == len(whole) and not cache
+
+
 def test_toxicity_odd_rows(make, labelled, odd_rows):
     _, labels = labelled
     model = toxicity.fit(make(odd_rows), labels)
