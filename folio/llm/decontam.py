@@ -1,10 +1,14 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Benchmark items are cut into overlapping segments of normalised text. If a region of a document is within k edits of a
-segment of s characters, it shares at least s - q + 1 - k * q of the segment's q-grams with it, and their diagonals
-(place in the document less place in the segment) differ by k at most either way. So the document's q-grams are looked
-up, hits are sorted by segment and diagonal, and where that many lie in one band of diagonals the region is a
-candidate; bands start at every hit, so they overlap. Candidates are verified by an alignment within the band.
+Benchmark items are cut into overlapping segments of normalised text, one every STRIDE characters and the last. If a
+region of a document is within k edits of a segment of s characters, it shares at least s - q + 1 - k * q of the
+segment's q-grams with it, and their diagonals (place in the document less place in the item) differ by k at most. Whole
+items are indexed, each q-gram once: the document's are looked up, hits are sorted by document, item and band of
+diagonals, and a segment with that many hits in one band is a candidate; bands are 2k + 2 wide and begin every k + 1, so
+any k + 1 diagonals lie in one. Candidates are verified by an alignment within the band.
+
+The stride is no more than the edits of a whole segment, so an excerpt is found wherever in its item it starts: with k
+edits from SEGMENT + STRIDE - 1 characters, with fewer from SEGMENT, as it lacks at most STRIDE / 2 of some segment.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from .common import numbered, text_of
 
 WORD = re.compile(r"\w+")
 #: Characters of a q-gram, of a segment, from one segment to the next; edits allowed for a character of a segment.
-Q, SEGMENT, STRIDE, RATE = 10, 80, 40, 0.08
+Q, SEGMENT, STRIDE, RATE = 10, 80, 6, 0.08
 #: Characters of benchmark text in one broadcast index; a larger benchmark is worked through in parts of this size.
 PART = 8_000_000
 BITS = 22
@@ -62,69 +66,89 @@ def code_points(text: str) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Segments of benchmark items, and where each of their q-grams is."""
+    """Normalised benchmark items, and where each of their q-grams is."""
 
-    items: list[int]
-    texts: list[str]
-    edits: np.ndarray
+    names: list[int]
+    flats: list[str]
+    size: np.ndarray  # of an item's segments; edits allowed for one, and hits that it needs
+    allowed: np.ndarray
     needed: np.ndarray
     mask: np.ndarray
     hashes: np.ndarray
     starts: np.ndarray
-    segment: np.ndarray
+    item: np.ndarray
     place: np.ndarray
 
+    def segments(self) -> Iterator[tuple[int, str, int]]:
+        """(item, text, edits allowed) of every segment."""
+        for name, flat, size, k in zip(self.names, self.flats, self.size.tolist(), self.allowed.tolist()):
+            for at in segment_starts(len(flat), 0, len(flat)).tolist():
+                yield name, flat[at : at + size], k
+
+    @property
+    def items(self) -> list[int]:
+        return [x[0] for x in self.segments()]
+
+    @property
+    def texts(self) -> list[str]:
+        return [x[1] for x in self.segments()]
+
+    @property
+    def edits(self) -> list[int]:
+        return [x[2] for x in self.segments()]
+
+
+def segment_starts(n: int, low: int, high: int) -> np.ndarray:
+    """Where the segments of an item of n characters start, out of low .. high."""
+    last = max(0, n - SEGMENT)
+    low, high = max(0, low), min(high, last)
+    some = np.arange(-(-low // STRIDE) * STRIDE, high + 1, STRIDE)
+    return np.r_[some, last].astype("i8") if high == last and last % STRIDE and low <= last else some.astype("i8")
+
 
 def build(rows: list[tuple[int, str]]) -> Index:
     """Index of (item, text) rows. Items of fewer than Q normalised characters can't be told from chance; they are left out."""
-    items, texts = [], []
-    for item, text in rows:
-        flat = normal(text)
-        if len(flat) >= Q:
-            last = max(0, len(flat) - SEGMENT)
-            for at in sorted({*range(0, last + 1, STRIDE), last}):
-                items.append(item)
-                texts.append(flat[at : at + SEGMENT])
-    size = np.array([len(t) for t in texts], "i8")
-    edits = np.minimum((size * RATE).astype("i8"), (size - Q) // Q)
-    grams = [gram_hashes(code_points(t)) for t in texts]
+    kept = [(item, flat) for item, text in rows if len(flat := normal(text)) >= Q]
+    names, flats = [x for x, _ in kept], [x for _, x in kept]
+    size = np.array([min(len(t), SEGMENT) for t in flats], "i8")
+    allowed = np.minimum((size * RATE).astype("i8"), (size - Q) // Q)
+    grams = [gram_hashes(code_points(t)) for t in flats]
     flat = np.concatenate(grams) if grams else np.zeros(0, "u8")
-    segment = np.repeat(np.arange(len(texts)), [len(g) for g in grams])
+    item = np.repeat(np.arange(len(flats)), [len(g) for g in grams])
     place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, "i8")
     order = np.argsort(flat, kind="stable")
     hashes, first = np.unique(flat[order], return_index=True)
     mask = np.zeros(1 << BITS, bool)
     mask[hashes >> np.uint64(64 - BITS)] = True
-    return Index(items, texts, edits, size - Q + 1 - edits * Q, mask, hashes, np.r_[first, len(flat)], segment[order].astype("i8"), place[order].astype("i8"))
-
-
-def aligned(segment: str, region: str, edits: int, slack: int) -> tuple[int, int] | None:
-    """(edits, end in region) of the best alignment of the whole segment to a part of the region that starts in its
-    first `slack` characters, if it takes no more than `edits`. Cells outside the band of diagonals aren't visited."""
-    far = edits + 1
-    width = slack + 2 * edits + 1  # diagonals -edits .. slack + edits
-    row = [0 if d >= edits and d <= slack + edits else far for d in range(width)]
-    for i, c in enumerate(segment):
-        new, best = [far] * width, far
-        for d in range(width):
-            j = i + d - edits  # the region's character on this diagonal
-            cost = row[d] + (not (0 <= j < len(region) and region[j] == c)) if 0 <= j < len(region) else far
-            if d + 1 < width and row[d + 1] + 1 < cost:
-                cost = row[d + 1] + 1
-            if d and new[d - 1] + 1 < cost and 0 <= j < len(region):
-                cost = new[d - 1] + 1
-            new[d] = cost = min(cost, far)
-            best = min(best, cost)
-        if best > edits:
+    return Index(names, flats, size, allowed, size - Q + 1 - allowed * Q, mask, hashes, np.r_[first, len(flat)], item[order].astype("i8"), place[order].astype("i8"))
+
+
+def aligned(item: np.ndarray, begin: np.ndarray, size: int, doc: np.ndarray, low: int, width: int, edits: int) -> tuple[int, int, int] | None:
+    """(edits, start, end in the document) of the best alignment of a segment of the item, out of those that begin at
+    these places, to a part of the document, if it takes no more than `edits`. Only cells on the `width` diagonals from
+    `low` on are visited, for all segments at once."""
+    far, n, d = edits + 1, len(doc), np.arange(width)
+    at = begin[:, None] + low + d  # the document's next character on each diagonal
+    row = np.where((at >= 0) & (at <= n), 0, far)
+    for i in range(size):
+        other = doc.take(at, mode="clip") != item[begin + i][:, None]
+        new = np.where((at >= 0) & (at < n), row + other, far)
+        new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
+        at = at + 1
+        bad = (at < 0) | (at > n)
+        new[bad] = far
+        row = np.minimum(np.minimum.accumulate(new - d, axis=1) + d, far)
+        row[bad] = far
+        if i % 4 == 3 and row.min() > edits:
             return None
-        row = new
-    cost = min(row)
-    return (cost, len(segment) + row.index(cost) - edits) if cost <= edits else None
+    cost, end = row.min(axis=1), begin + size + low + row.argmin(axis=1)
+    found = [(c, max(0, e - size), e) for c, e in zip(cost.tolist(), end.tolist()) if c <= edits]
+    return min(found) if found else None
 
 
 def matches(flats: list[str], index: Index) -> list[tuple[int, int, int, int, int]]:
     """(row, item, start, end, edits) for each normalised text and item, its best segment's region."""
-    if not index.texts:
+    if not index.flats:
         return []
     joined = "\n".join(flats)
     starts = np.r_[0, np.cumsum([len(f) + 1 for f in flats])]
@@ -135,33 +159,55 @@ def matches(flats: list[str], index: Index) -> list[tuple[int, int, int, int, in
     at, which = at[same], which[same]
     counts = index.starts[which + 1] - index.starts[which]
     posting = np.repeat(index.starts[which] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
-    segment = index.segment[posting]
-    diagonal = np.repeat(at, counts) - index.place[posting] + SEGMENT
-    order = np.argsort(segment << 40 | diagonal, kind="stable")
-    segment, diagonal = segment[order], diagonal[order]
-    # A band from hit i on holds enough hits if the one that makes them enough lies in it.
-    enough = np.arange(len(segment)) + index.needed[segment] - 1
-    inside = enough < len(segment)
-    i, j = np.flatnonzero(inside), enough[inside]
-    good = (segment[i] == segment[j]) & (diagonal[j] - diagonal[i] <= 2 * index.edits[segment[i]])
+    at, item, place = np.repeat(at, counts), index.item[posting], index.place[posting]
+    doc = np.searchsorted(starts, at, "right") - 1
+    # Most hits are chance ones: a document has too few of the item.
+    pair = doc * len(index.flats) + item
+    _, group, held = np.unique(pair, return_inverse=True, return_counts=True)
+    keep = held[group] >= index.needed[item]
+    if not keep.any():
+        return []
+    item, place, doc = item[keep], place[keep], doc[keep]
+    at = at[keep] - starts[doc]
+    shift = int(place.max()) + 1
+    band = (at - place + shift) // (index.allowed[item] + 1) + 1
+    # Each hit lies in two bands. Within one, hits stay in the document's order, which for a segment's is within k of the item's.
+    item, place, doc, at = (np.r_[x, x] for x in (item, place, doc, at))
+    band = np.r_[band, band - 1]
+    key = (doc * len(index.flats) + item) * (int(band.max()) + 1) + band
+    order = np.argsort(key, kind="stable")
+    key, item, place, doc, band = key[order], item[order], place[order], doc[order], band[order]
+    edge = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)]
+    many = np.diff(edge) >= index.needed[item[edge[:-1]]]
+    tries: list[tuple[int, int, int, np.ndarray]] = []
+    for i, j in zip(edge[:-1][many].tolist(), edge[1:][many].tolist()):
+        x, hits = int(item[i]), np.sort(place[i:j])
+        span = int(index.size[x]) - Q
+        begin = segment_starts(len(index.flats[x]), int(hits[0]) - span, int(hits[-1]))
+        begin = begin[np.searchsorted(hits, begin + span, "right") - np.searchsorted(hits, begin) >= index.needed[x]]
+        if len(begin):
+            tries.append((int(doc[i]), x, (int(band[i]) - 1) * (int(index.allowed[x]) + 1) - shift, begin))
+    # Exact segments first: none is better, and looking for them is cheap.
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
-    tried: set[tuple[int, int]] = set()
-    for s, d in zip(segment[i[good]].tolist(), (diagonal[i[good]] - SEGMENT).tolist()):
-        k = int(index.edits[s])
-        if (s, d // (k + 1)) in tried:
-            continue
-        tried.add((s, d // (k + 1)))
-        # The hits' diagonals lie in d .. d + 2k, and any other start this try stands for in k more.
-        low = d // (k + 1) * (k + 1) - k
-        doc = int(np.searchsorted(starts, min(max(d, 0), len(joined) - 1), "right")) - 1
-        left, right = max(low, int(starts[doc])), min(low + 5 * k + len(index.texts[s]) + 1, int(starts[doc + 1]) - 1)
-        exact = joined.find(index.texts[s], left, right)
-        got = (0, exact - left + len(index.texts[s])) if exact >= 0 else aligned(index.texts[s], joined[left:right], k, 4 * k + 1)
-        if got:
-            key, end = (doc, index.items[s]), left + got[1] - int(starts[doc])
-            best = (got[0], max(0, end - len(index.texts[s])), end)
-            found[key] = min(found.get(key, best), best)
-    return sorted((doc, item, s, e, n) for (doc, item), (n, s, e) in found.items())
+    for row, x, low, begin in tries:
+        size, width = int(index.size[x]), 2 * int(index.allowed[x]) + 2
+        for b in begin.tolist():
+            start = flats[row].find(index.flats[x][b : b + size], max(0, b + low), max(0, b + low + width - 1 + size))
+            if start >= 0:
+                best = (0, start, start + size)
+                found[row, x] = min(found.get((row, x), best), best)
+    exact = set(found)
+    for row, x, low, begin in tries:
+        if (row, x) not in exact:
+            flat, text = code_points(index.flats[x]), code_points(flats[row])
+            for part in range(0, len(begin), 4096):
+                got = aligned(flat, begin[part : part + 4096], int(index.size[x]), text, low, 2 * int(index.allowed[x]) + 2, int(index.allowed[x]))
+                if got:
+                    found[row, x] = min(found.get((row, x), got), got)
+    best_of: dict[tuple[int, int], tuple[int, int, int]] = {}  # rows of one item id give one match
+    for (row, x), got in found.items():
+        best_of[row, index.names[x]] = min(best_of.get((row, index.names[x]), got), got)
+    return sorted((row, name, s, e, n) for (row, name), (n, s, e) in best_of.items())
 
 
 def _parts(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:

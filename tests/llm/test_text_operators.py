@@ -128,6 +128,24 @@ def test_find_agrees_with_brute_force(make, spark):
     assert got == want and len(want) > 10
 
 
+def test_excerpts_are_found_wherever_they_start():
+    r, item = random.Random(6), decontam.normal(prose(60, 70))
+    index = decontam.build([(7, item)])
+    around = ["".join(r.choice("qwxzjk ") for _ in range(90)).strip() for _ in range(2)]
+    rows = [decontam.normal(f"{around[0]} {item[at : at + 80]} {around[1]}") for at in range(len(item) - 79)]
+    assert {m[0] for m in decontam.matches(rows, index)} == set(range(len(rows)))
+    edited = []
+    for at in range(0, len(item) - 84, 20):
+        piece = list(item[at : at + 85])
+        for k in r.sample(range(85), 6):
+            piece[k] = r.choice(["", "7", piece[k] + "8"])
+        edited.append(f"{around[0]} {''.join(piece)} {around[1]}")
+    got = {m[0]: m for m in decontam.matches(edited, index)}
+    segments = list(zip(index.texts, index.edits))
+    assert set(got) == {i for i, t in enumerate(edited) if any(distance(s, t) <= k for s, k in segments)} == set(range(len(edited)))
+    assert all(got[i][4] == min(distance(s, t) for s, _ in segments) for i, t in enumerate(edited[:10]))
+
+
 def test_drop_contaminated(make, spark, odd_rows):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     df = make([*odd_rows, (50, "before " + BENCH[3][1].upper() + " after")])
