@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:-->|--!>|\Z))|[!?][^>]*(?:>|\Z)|/[^a-zA-Z>][^>]*>|(/?)([a-zA-Z][^\s/>]*)([^>"']*+(?:(?:"[^"]*"|'[^']*')[^>"']*+)*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)""", re.S)
-NAME = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s/>="']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
 RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "xmp", "iframe", "noembed")}
 PUNCTUATION = re.compile(r"[,.;:!?،。，、؟！？；：…]")
 
@@ -59,8 +59,8 @@ class _Node:
         self.main = bool(up and up.main) or tag in MAIN
         called, never, soft = "", tag in NEVER, True
         if attributes:
-            for m in NAME.finditer(attributes):
-                kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            for m in ATTRIBUTE.finditer(attributes):
+                kind, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
                 if kind in ("class", "id"):
                     called += " " + value
                     if by_name and not never and (found := CALLED.search(HEADING.sub(" ", value) if self.main else value)) and not NAMELESS.fullmatch(tag):

@@ -72,6 +72,14 @@ def test_names_of_layouts_and_headings():
     assert html.extract("<div class=menu-page><p>All of it, in here.</p></div>") == "All of it, in here."
 
 
+def test_only_attributes_of_their_own_name_count():
+    for said in ("style='overflow:hidden'", 'title="The hidden cost"', "data-hidden=false", "data-class=nav", 'title="id=menu class=ad"', "alt='role=\"banner\" aria-hidden=true'", "x='a'data-id=footer", "href=/a?id=nav"):
+        assert html.extract(f"<body><div {said}><article><p>All of it, in here.</p></article></div></body>") == "All of it, in here.", said
+    for said in ("hidden", "HIDDEN=''", "data-x='1'hidden", "role = 'banner'", "aria-hidden=true", "title='x' class=\"ad\"", "x=1 id=footer"):
+        page = f"<body><div {said}><p>Not this, at all.</p></div><p>All of it, in here.</p></body>"
+        assert html.extract(page) == "All of it, in here.", said
+
+
 @pytest.mark.parametrize("tag", ["article", "main"])
 def test_short_blocks_of_an_article_are_kept(tag):
     long = [f"{prose(k, 40)}, and; {prose(k + 9, 30)}. So, it is: yes." * 2 for k in range(5)]
