@@ -2,7 +2,8 @@
 
 A candidate is a run of characters that keys are made of. Within it, for each character class, a window slides over
 each run of that class; its entropy follows from counts that change by one character in and one out a step. Windows
-over the class's threshold, joined where they touch, are spans, unless the allow-list names what they hold.
+over the class's threshold, joined where they touch, are spans, unless the allow-list names what they hold. A window that
+overlaps a placeholder does not count; those beside it do.
 """
 
 from __future__ import annotations
@@ -29,21 +30,33 @@ CLASSES = {
     "alnum": (re.compile(r"[A-Za-z0-9]{20,}"), 20, 3.9),
     "base64": (re.compile(r"[A-Za-z0-9+/_=-]{32,}"), 32, 4.3),
 }
-#: What a span holds that is no secret: words alone, numbers alone, dates and identifiers with dashes, ordered alphabets.
+#: What a span holds that is no secret: words alone, numbers alone, dates and identifiers with dashes.
 ALLOW = [
     re.compile(r"(?:[A-Za-z]?[a-z]*|[A-Z]+)(?:[-_/+=](?:[A-Za-z]?[a-z]*|[A-Z]+))*"),
     re.compile(r"[0-9+/_=-]+"),
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),
-    re.compile(r".*(?:0123456789|abcdefghij|ABCDEFGHIJ|example|EXAMPLE|xxxxxxxx|XXXXXXXX).*"),
 ]
 
+
+def _onward(rest: str) -> str:
+    """A pattern of as many of these characters as follow."""
+    return f"(?:{rest[0]}{_onward(rest[1:])})?" if rest else ""
+
+
+#: What no secret's window overlaps: ordered alphabets, as far as they go, and words of examples.
+PLACEHOLDER = re.compile(f"0123456789|abcdefghij{_onward('klmnopqrstuvwxyz')}|ABCDEFGHIJ{_onward('KLMNOPQRSTUVWXYZ')}|example|EXAMPLE|x{{8,}}|X{{8,}}")
+
 _LOG = [0.0, 0.0] + [n * math.log2(n) for n in range(2, 257)]
 
 
 def windows(text: str, width: int, bar: float) -> list[tuple[int, int]]:
-    """The joined windows of `width` characters with an entropy of `bar` bits or more."""
+    """The joined windows of `width` characters with an entropy of `bar` bits or more that overlap no placeholder."""
     counts: dict[str, int] = {}
     total, found = 0.0, []
+    barred = bytearray(len(text))  # by start of a window
+    for m in PLACEHOLDER.finditer(text):
+        low = max(0, m.start() - width + 1)
+        barred[low : m.end()] = b"\1" * (m.end() - low)
     for i, c in enumerate(text):
         n = counts.get(c, 0)
         total += _LOG[n + 1] - _LOG[n]
@@ -53,7 +66,7 @@ def windows(text: str, width: int, bar: float) -> list[tuple[int, int]]:
             n = counts[out]
             total += _LOG[n - 1] - _LOG[n]
             counts[out] = n - 1
-        if i >= width - 1 and math.log2(width) - total / width >= bar - 1e-9:
+        if i >= width - 1 and not barred[i - width + 1] and math.log2(width) - total / width >= bar - 1e-9:
             start = i - width + 1
             if found and start <= found[-1][1]:
                 found[-1][1] = i + 1

@@ -42,6 +42,16 @@ def test_entropy_spans_and_allow_list():
     assert secrets.entropy_spans(f"token = {key}", base) == []
 
 
+def test_placeholders_suppress_only_what_overlaps_them():
+    key = "k8Zq2Lw9Xv4Rt7Yb1Nm6Pc3Hd5Js0Gf"
+    for text in (f"/srv/example/keys/{key}", f"{key}/xxxxxxxx", f"0123456789{key}", f"EXAMPLE{key}"):
+        at = text.index(key)
+        assert any(s <= at + 1 and at + len(key) <= e or s <= at and at + len(key) - 1 <= e for _, s, e in secrets.entropy_spans(text, [])), text
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for text in (upper + upper.lower() + "0123456789+/", upper + "234567", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "Zk9" + "x" * 30):
+        assert secrets.entropy_spans(text, []) == [], text
+
+
 def test_scan_odd_rows(make, odd_rows):
     assert secrets.scan(make(odd_rows)).count() == len(odd_rows)
     assert secrets.scan(make([])).count() == 0
