@@ -1,9 +1,8 @@
-"""N-gram Jaccard self-join through a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard self-join by banded MinHash, with exact verification.
 
-A text's set of five-word shingles gets one MinHash signature, cut into TREES runs of DEPTH values: each run is a path in
-a prefix trie, and the sorted runs are the tries. Texts that share a prefix of a run are candidates. The join starts
-from whole runs and shortens the prefix, value by value, until texts at the threshold meet with the target probability;
-texts under longer shared prefixes lie in the same shorter ones, so nothing found is lost on the way.
+A text's set of five-word shingles gets one MinHash signature, cut into TREES runs of DEPTH values. Texts that share the
+first values of a run are candidates; how many is fixed by depth_for() from the threshold and the target recall alone
+(5 of 6). This is banding with bands of one depth, not a forest: no tries are built and nothing depends on the data.
 
 Candidates are never listed as pairs. A shared prefix links its texts to the smallest of them, the links' connected
 components are the candidate groups, and a group is verified in blocks: a task takes two blocks of at most BLOCK texts,
