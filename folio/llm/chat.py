@@ -60,8 +60,12 @@ def json_paths(record: Column) -> Column:
     top = F.coalesce(F.json_object_keys(record), none)
 
     def within(name: str) -> Column:
-        keys = F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), none)
-        return F.transform(keys, lambda k: F.concat(F.lit(f"{name}[]."), k))
+        # The fields of all elements; a list without elements lacks none of those that its mapping names.
+        held = F.from_json(F.get_json_object(record, f"$.{name}"), "array<string>")
+        named = [p for m in MAPPINGS.values() if "list" in m and m["list"][0] == name for p in m["paths"] if "[]" in p]
+        keys = F.flatten(F.transform(held, lambda x: F.coalesce(F.json_object_keys(x), none)))
+        made = F.transform(F.coalesce(keys, none), lambda k: F.concat(F.lit(f"{name}[]."), k))
+        return F.when(F.size(held) == 0, F.array(*map(F.lit, named))).otherwise(made)
 
     return F.array_distinct(F.concat(top, *map(within, LISTS)))
 

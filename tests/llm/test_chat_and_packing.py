@@ -52,6 +52,12 @@ def test_json_layouts(spark):
     assert got[98].layout is None and got[99].turns is None
 
 
+def test_json_lists_whose_turns_differ(spark):
+    rows = [(1, '{"messages": [{"role": "system"}, {"role": "user", "content": "a"}]}'), (2, '{"messages": []}'), (3, '{"messages": [{"role": "user"}]}')]
+    got = {r.id: (r.layout, r.turns and [tuple(t) for t in r.turns]) for r in chat.from_json(spark.createDataFrame(rows, "id long, json string"), "id", "json").collect()}
+    assert got[1] == ("openai", [("system", ""), ("user", "a")]) and got[2] == ("openai", []) and got[3][0] is None
+
+
 def test_table_layouts(spark):
     df = spark.createDataFrame([(1, "q", "a")], "id long, question string, answer string")
     assert [(t.role, t.text) for t in chat.from_table(df, "id").first().turns] == [("user", "q"), ("assistant", "a")]
