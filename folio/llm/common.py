@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import uuid
+import warnings
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The characters of [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
@@ -21,7 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    named, warehouse = spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.sql.warehouse.dir")
+    if not named and warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        warnings.warn(f"spark.checkpoint.dir is unset, so scratch tables go to {warehouse}, which executors must share", stacklevel=2)
+    return (named or warehouse).rstrip("/")
 
 
 def write(df: DataFrame) -> tuple[DataFrame, str]:
@@ -71,6 +80,23 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a row's content, by which one of several rows is picked alike in every run; equal rows are equal."""
+    plain = [F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(f"`{f.name}`") for f in df.schema]
+    return F.xxhash64(*plain) if plain else F.lit(0).cast("bigint")
+
+
+def slices(batch: pa.RecordBatch, column: int | str, most_rows: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most so many rows, and so many bytes of text unless one text alone has more."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("i8")
+    total, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        before = total[at - 1] if at else 0
+        end = max(at + 1, min(at + most_rows, int(np.searchsorted(total, before + most_bytes, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int | None = None) -> DataFrame:
     """rows LEFT JOIN groups on keys, where one key may hold a large share of all rows.
 
@@ -99,9 +125,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges go to a scratch table; the driver sees a count and a checksum alone. Nodes without edges don't appear.
     """
 
+    def summary(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
     current = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = (current.count(), None)
-    while True:
+    seen = summary(current)
+    while seen[0]:
         both = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
         # A node may have a large share of all edges: it is the smallest of its group, or of many prefixes.
@@ -111,7 +140,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(down, "a").select(F.col("b").alias("x"), "a", "m")
         after = small.select(F.col("x").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         current = materialise(after)
-        now = tuple(current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        now = summary(current)
         if now == seen:
             break
         seen = now

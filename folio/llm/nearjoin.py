@@ -1,19 +1,23 @@
-"""N-gram Jaccard self-join by banded MinHash, with exact verification.
-
-A text's set of five-word shingles gets one MinHash signature, cut into TREES runs of DEPTH values. Texts that share the
-first values of a run are candidates; how many is fixed by depth_for() from the threshold and the target recall alone
-(5 of 6). This is banding with bands of one depth, not a forest: no tries are built and nothing depends on the data.
-
-Candidates are never listed as pairs. A shared prefix links its texts to the smallest of them, the links' connected
-components are the candidate groups, and a group is verified in blocks: a task takes two blocks of at most BLOCK texts,
-counts all shared shingles by matrix products, and returns one row a text (its verified links there, and the smallest
-text it is linked to). Groups of any size are whole: theirs are just more pairs of blocks.
+"""N-gram Jaccard self-join by a MinHash LSH forest, with exact verification.
+
+A text's set of five-word shingles gets one MinHash signature, cut into TREES runs of DEPTH values. The runs of a tree,
+sorted, are its prefix trie: texts that share the first k values of a run are neighbours there. Matching starts from
+whole runs and shortens the prefix value by value until the recall reaches the target (fit_depth): recall is measured on
+this corpus, over the links that a bounded sample of its texts truly has with all others, found by exact comparison.
+
+Candidates are never listed as pairs. Texts with neighbours are ordered by the least text that they share a prefix with,
+and cut into blocks of at most BLOCK texts or BLOCK_BYTES. A unit of work is a block, or two blocks between which some
+text shares a prefix, with just the texts that do. A task takes one unit at a time, compares exactly the pairs that share
+a prefix in any tree, and returns one row a text: its verified links there, and the smallest text it is linked to. A pair
+lies in one unit, so it counts once; a group of any size is whole, being more units. Connected components are sought
+among verified links alone.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
@@ -22,40 +26,39 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_groups, materialise, partitions, text_of
+from .common import components, join_groups, materialise, partitions, row_hash, slices, text_of
 
 WORD = re.compile(r"\w+")
 GRAM, THRESHOLD = 5, Fraction(4, 5)
-TREES, DEPTH, TARGET = 16, 6, 0.995
-BLOCK = 1024
+TREES, DEPTH, TARGET = 16, 6, 0.998
+#: Bounds of a block, in texts and bytes of text.
+BLOCK, BLOCK_BYTES = 128, 1 << 20
+#: Bounds of the sample that recall is measured on: texts, and characters of each.
+SAMPLE, SAMPLE_CHARS = 1024, 20_000
+#: How many sampled texts the expectation at the threshold weighs as much as, where few of the sample have links.
+PRIOR = 20
 #: A null id sorts behind all others.
 NO_ID = 2**63 - 1
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.random.default_rng(5).integers(0, 2**63, GRAM, dtype="u8") | np.uint64(1)
 _PERMUTE = np.random.default_rng(6).integers(0, 2**63, TREES * DEPTH, dtype="u8") | np.uint64(1)
+#: Bytes of a run, and bits that the sample's shingles are looked up by first.
+RUN, BITS = 4 * DEPTH, 22
 
 
 class _Words(dict):
-    """64-bit hashes of words; emptied when full, so bounded on any corpus."""
+    """64-bit hashes of words; emptied when full and without the longest, so bounded on any corpus."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        got = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(word) <= 64:
+            if len(self) >= 300_000:
+                self.clear()
+            self[word] = got
         return got
 
 
-def depth_for(trees: int, depth: int, threshold: float, target: float) -> tuple[int, float]:
-    """The longest prefix whose recall at the threshold reaches the target, from `depth` down; and that recall."""
-    recall = 0.0
-    for k in range(depth, 0, -1):
-        recall = 1 - (1 - threshold**k) ** trees
-        if recall >= target:
-            return k, recall
-    return 1, recall
-
-
 def shingles(text: str, words: dict, gram: int = GRAM) -> tuple[bytes, np.ndarray]:
     """A digest of the normalised text and its distinct shingle hashes.
 
@@ -86,29 +89,159 @@ def signature(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def prefix_keys(found: np.ndarray, depth: int) -> list[int]:
-    """One key a tree: the hashed prefix of its run."""
-    if not len(found):
+def runs_of(found: np.ndarray) -> np.ndarray:
+    """The runs, a row a tree: the low halves of the signature's values, which order as their big-endian bytes do."""
+    return (signature(found) & np.uint64(0xFFFFFFFF)).astype(">u4").reshape(TREES, DEPTH)
+
+
+def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many first values are equal along the last axis."""
+    return np.cumprod(a == b, axis=-1).sum(axis=-1)
+
+
+def expected_recall(depth: int, similarity: float = float(THRESHOLD)) -> float:
+    """The chance that two texts of this similarity share a prefix of this depth in some tree."""
+    return 1 - (1 - similarity**depth) ** TREES
+
+
+# -- the sample, and the depth
+
+
+@dataclass
+class Sample:
+    """Shingle sets of sampled texts, by shingle."""
+
+    digests: list[bytes]
+    sizes: np.ndarray
+    runs: np.ndarray
+    mask: np.ndarray
+    shingle: np.ndarray
+    start: np.ndarray
+    owner: np.ndarray
+
+
+def build_sample(texts: list[str]) -> Sample:
+    words, sets = _Words(), {}
+    for t in texts:
+        digest, found = shingles(t, words)
+        if len(found):
+            sets.setdefault(digest, found)
+    held = list(sets.values())
+    flat = np.concatenate(held) if held else np.zeros(0, "u8")
+    owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
+    order = np.argsort(flat, kind="stable")
+    shingle, start = np.unique(flat[order], return_index=True)
+    mask = np.zeros(1 << BITS, bool)
+    mask[shingle >> np.uint64(64 - BITS)] = True
+    runs = np.stack([runs_of(x) for x in held]) if held else np.zeros((0, TREES, DEPTH), ">u4")
+    return Sample(list(sets), np.array([len(x) for x in held], "i8"), runs, mask, shingle, np.r_[start, len(flat)], owner[order])
+
+
+def sampled_links(digest: bytes, found: np.ndarray, runs: np.ndarray, sample: Sample) -> list[int]:
+    """Of each sampled text that this one is truly linked to: its number and the deepest prefix that a tree shares."""
+    near = found[sample.mask[found >> np.uint64(64 - BITS)]]
+    if not len(near) or not len(sample.shingle):
         return []
-    runs = signature(found).reshape(TREES, DEPTH)[:, :depth]
-    return [xxhash.xxh3_64_intdigest(r.tobytes(), t) - 2**63 for t, r in enumerate(np.ascontiguousarray(runs))]
+    at = np.minimum(np.searchsorted(sample.shingle, near), len(sample.shingle) - 1)
+    at = at[sample.shingle[at] == near]
+    if not len(at):
+        return []
+    width = sample.start[at + 1] - sample.start[at]
+    place = np.repeat(sample.start[at] - np.r_[0, np.cumsum(width)[:-1]], width) + np.arange(width.sum())
+    shared = np.bincount(sample.owner[place], minlength=len(sample.sizes))
+    p, q = THRESHOLD.numerator, THRESHOLD.denominator
+    linked = np.flatnonzero((shared > 0) & (shared * (p + q) >= p * (sample.sizes + len(found))))
+    return [int(k) * (DEPTH + 1) + int(common_prefix(sample.runs[k], runs).max()) for k in linked if sample.digests[k] != digest]
+
+
+def measured_recall(counts: dict[int, int]) -> list[float]:
+    """Recall by depth 0 .. DEPTH: the mean over sampled texts with links, and PRIOR more of the expected recall."""
+    by: dict[int, np.ndarray] = {}
+    for key, n in counts.items():
+        by.setdefault(key // (DEPTH + 1), np.zeros(DEPTH + 1))[key % (DEPTH + 1)] += n
+    shares = [np.cumsum(x[::-1])[::-1] / x.sum() for x in by.values()]
+    total = np.sum(shares, axis=0) if shares else np.zeros(DEPTH + 1)
+    return [float((total[d] + PRIOR * expected_recall(d)) / (len(shares) + PRIOR)) for d in range(DEPTH + 1)]
+
+
+def fit_depth(counts: dict[int, int], target: float = TARGET) -> tuple[int, float]:
+    """Shorten whole runs value by value until the recall reaches the target; that depth, and its recall."""
+    recall = measured_recall(counts)
+    depth = DEPTH
+    while depth > 1 and recall[depth] < target:
+        depth -= 1
+    return depth, recall[depth]
+
+
+def _draw(named: DataFrame) -> list[str]:
+    """At most SAMPLE different texts of at most SAMPLE_CHARS characters, those of the smallest hashes."""
+    short = named.where(F.length("text") <= SAMPLE_CHARS).select(F.xxhash64("text", F.lit(31)).alias("h"), "text")
+    n = max(1, short.count())
+    share = F.pmod("h", F.lit(1 << 30)) / (1 << 30)
+    few = short.where(share <= 1.5 * SAMPLE / n).groupBy("h").agg(F.first("text").alias("text"))
+    return [r["text"] for r in few.orderBy(share, "h").limit(SAMPLE).collect()]
+
+
+# -- signatures and tries
 
 
-def _sign(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], sample: Sample) -> Iterator[pa.RecordBatch]:
     words = _Words()
+    for whole in batches:
+        for batch in slices(whole, "text", 4096, 1 << 24):
+            digests, runs, links, sizes = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                digest, found = shingles(text, words)
+                digests.append(digest)
+                sizes.append(len(text))
+                run = runs_of(found) if len(found) else None
+                runs.append(run.tobytes() if run is not None else None)
+                links.append(sampled_links(digest, found, run, sample) if run is not None else [])
+            cols = [batch.column("doc"), batch.column("mark"), pa.array(digests, pa.binary()), pa.array(runs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(links, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc", "mark", "digest", "runs", "chars", "links"])
+
+
+def _matched(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a partition of the sorted tries that share a prefix of this depth with the row before or behind; the
+    partition's first and last row may with rows beyond it, so they pass."""
+    held, joined = None, True  # the last row, whose follower is still to come, and whether it shares one with its leader
     for batch in batches:
-        digests, keys = [], []
-        for text in batch.column("text").to_pylist():
-            digest, found = shingles(text, words)
-            digests.append(digest)
-            keys.append(prefix_keys(found, depth))
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("mark"), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc", "mark", "digest", "keys"])
+        if not batch.num_rows:
+            continue
+        here = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        n, tree = here.num_rows, here.column("tree").to_numpy()
+        run = np.frombuffer(b"".join(here.column("run").to_pylist()), ">u4").reshape(n, DEPTH)
+        same = (tree[1:] == tree[:-1]) & (run[1:, :depth] == run[:-1, :depth]).all(axis=1)
+        keep = np.r_[joined, same] | np.r_[same, False]
+        joined = bool(same[-1]) if n > 1 else joined
+        yield here.slice(0, n - 1).filter(pa.array(keep[:-1]))
+        held = here.slice(n - 1)
+    if held is not None:
+        yield held
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut the ordered texts into blocks."""
+    from pyspark import TaskContext
+
+    block, texts, size = TaskContext.get().partitionId() << 32, 0, 0
+    for batch in batches:
+        made = []
+        for chars in batch.column("chars").to_pylist():
+            if texts and (texts == BLOCK or size + chars > BLOCK_BYTES):
+                block, texts, size = block + 1, 0, 0
+            texts, size = texts + 1, size + chars
+            made.append(block)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.int64())], ["node", "block"])
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text_of(text_col)).alias("mark"), text_of(text_col).alias("text"))
 
 
+# -- verification
+
+
 def linked(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, threshold: Fraction = THRESHOLD) -> np.ndarray:
     """Which of sets[rows] x sets[cols] have a Jaccard similarity of the threshold or more, in exact integers."""
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -144,71 +277,95 @@ def _roots(adjacent: np.ndarray) -> np.ndarray:
     return root
 
 
-def _verify_block(nodes: list[int], texts: list[str], blocks: list[int], low: int, high: int, words: dict) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """nodes, verified links, and the smallest linked node, of the pairs between blocks low and high."""
-    first = {}
-    for i, node in enumerate(nodes):
-        first.setdefault(node, i)
-    pick = [first[node] for node in sorted(first)]
-    nodes, of = [nodes[i] for i in pick], np.array([blocks[i] for i in pick])
-    sets = [shingles(texts[i], words)[1] for i in pick]
+def _verify_unit(low: int, high: int, held: dict[int, tuple[int, str, bytes]], depth: int, words: dict) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Texts of a unit, their verified links between blocks low and high, and the smallest text each is linked to."""
+    nodes = sorted(held)
+    of = np.array([held[n][0] for n in nodes])
     a, b = np.flatnonzero(of == low), np.flatnonzero(of == high)
     met = np.zeros((len(nodes), len(nodes)), bool)
-    if len(a) and len(b):
-        met[np.ix_(a, b)] = linked(sets, a, b)
+    if len(nodes) > 1 and len(a) and len(b):
+        prefix = np.frombuffer(b"".join(held[n][2] for n in nodes), ">u4").reshape(len(nodes), TREES, DEPTH)[:, :, :depth]
+        key = np.unique(np.ascontiguousarray(prefix).view(f"S{4 * depth}").reshape(-1), return_inverse=True)[1].reshape(len(nodes), TREES)
+        share = (key[a][:, None, :] == key[b][None, :, :]).any(axis=2) & (a[:, None] != b[None, :])
+        if share.any():
+            met[np.ix_(a, b)] = share & linked([shingles(held[n][1], words)[1] for n in nodes], a, b)
     met |= met.T
-    np.fill_diagonal(met, False)
     return nodes, met.sum(axis=1), np.array(nodes, "i8")[_roots(met)]
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (component, low, high); what comes in is held for one such group at a time."""
-    words, key, held = _Words(), None, ([], [], [])
+def _verify(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by unit; the texts of one unit are held at a time."""
+    words, unit, held = _Words(), None, {}
 
     def done() -> pa.RecordBatch:
-        nodes, links, root = _verify_block(*held, key[1], key[2], words)
-        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(links, pa.int64()), pa.array(root, pa.int64()), pa.array([key[3]] * len(nodes), pa.int32())], ["node", "links", "root", "n_blocks"])
-
-    for batch in batches:
-        for component, low, high, n, node, block, text in zip(*(batch.column(c).to_pylist() for c in ("component", "low", "high", "n_blocks", "node", "block", "text"))):
-            if key != (component, low, high, n):
-                if key is not None:
-                    yield done()
-                key, held = (component, low, high, n), ([], [], [])
-            for x, y in zip(held, (node, text, block)):
-                x.append(y)
-    if key is not None:
+        cols = _verify_unit(*unit, held, depth, words)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["node", "links", "root"])
+
+    for whole in batches:
+        for batch in slices(whole, "text", 1024, 1 << 23):
+            for low, high, node, block, text, runs in zip(*(batch.column(c).to_pylist() for c in ("low", "high", "node", "block", "text", "runs"))):
+                if unit != (low, high):
+                    if unit is not None:
+                        yield done()
+                    unit, held = (low, high), {}
+                held.setdefault(node, (block, text, runs))
+    if unit is not None:
         yield done()
 
 
+def _units(near: DataFrame, home: DataFrame) -> DataFrame:
+    """(low, high, node, block): the units that each text is in. A text is in that of its own block, and in that of its
+    own and another block where it shares a prefix with a text of the other."""
+    placed = materialise(near.join(home, "node").select("bucket", "node", "block"))
+    spread = placed.groupBy("bucket").agg(F.min("block").alias("lo"), F.max("block").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
+    wide = materialise(join_groups(placed, materialise(spread), ["bucket"], "n").where("n is not null"))
+    # A prefix that many texts share is dealt out: its texts by hash, the blocks that they meet to each part.
+    parts = F.ceil(F.col("n") / 1024).cast("int")
+    texts = wide.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    others = wide.select("bucket", F.col("block").alias("other"), "n").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    across = texts.join(others, ["bucket", "part"]).where("block <> other").select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "block").distinct()
+    return across.unionByName(home.select(F.col("block").alias("low"), F.col("block").alias("high"), "node", "block"))
+
+
 def _judge(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The rows' (doc, mark, digest), and of each digest what there is to say."""
-    spark = docs.sparkSession
-    depth, _ = depth_for(TREES, DEPTH, float(THRESHOLD), TARGET)
+    spark, parts = docs.sparkSession, partitions(docs.sparkSession)
     named = _named(docs, id_col, text_col)
-    rows = materialise(named.mapInArrow(lambda it: _sign(it, depth), "doc long, mark long, digest binary, keys array<long>"))
-    by = rows.groupBy("digest", "keys").agg(F.min(F.struct("doc", "mark")).alias("best"), F.count(F.lit(1)).alias("copies"))
-    texts = materialise(by.select("digest", "keys", F.col("best.doc").alias("doc"), F.col("best.mark").alias("mark"), "copies", F.monotonically_increasing_id().alias("node")))
-    paths = texts.select("node", F.posexplode("keys").alias("tree", "key"))
-    met = paths.groupBy("tree", "key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    edges = join_groups(paths, materialise(met), ["tree", "key"], "held").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    groups = materialise(components(edges))
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")).withColumn("n_blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    sized = join_groups(groups, materialise(sizes), ["component"], "size")
-    members = sized.join(texts, "node").select("component", "node", "doc", "mark", "n_blocks", F.pmod(F.xxhash64("node"), "n_blocks").cast("int").alias("block"))
-    held = named.join(members, ["doc", "mark"])
-    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "n_blocks", "node", "block", "text")
-    order = ["component", "low", "high"]
-    verified = materialise(dealt.repartition(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_verify, "node long, links long, root long, n_blocks int"))
-    # A group of one block is settled by its own task; the forests that the others' tasks found are joined once more.
-    forest = verified.where("n_blocks > 1 and node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    wide = components(forest).withColumnRenamed("component", "wide") if not forest.isEmpty() else forest.select(F.col("a").alias("node"), F.col("b").alias("wide"))
-    links = verified.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("n_blocks").alias("n_blocks"))
-    settled = links.join(wide, "node", "left").select("node", "links", F.when(F.col("n_blocks") == 1, F.col("root")).otherwise(F.coalesce("wide", "node")).alias("class"))
-    full = materialise(texts.join(settled, "node", "left").select("digest", "doc", "mark", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class", "node").alias("class")))
+    sent = spark.sparkContext.broadcast(build_sample(_draw(named)))
+    rows = materialise(named.mapInArrow(lambda it: _sign(it, sent.value), "doc long, mark long, digest binary, runs binary, chars long, links array<int>"))
+    counts = rows.select(F.explode("links").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    depth, _ = fit_depth({r["k"]: r["n"] for r in counts.collect()})
+    by = rows.groupBy("digest", "runs").agg(F.min(F.struct("doc", "mark", "chars")).alias("best"), F.count(F.lit(1)).alias("copies"))
+    texts = materialise(by.select("digest", "runs", "best.*", "copies", F.monotonically_increasing_id().alias("node")))
+
+    # The tries: every run of every text, sorted. What has no neighbour is gone after this.
+    order = ["tree", "run", "node"]
+    trie = texts.where("runs is not null").select("node", "chars", "runs", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    trie = trie.select("tree", F.expr(f"substring(runs, tree * {RUN} + 1, {RUN})").alias("run"), "node", "chars")
+    dealt = trie.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    kept = dealt.mapInArrow(lambda it: _matched(it, depth), "tree int, run binary, node long, chars long")
+    kept = materialise(kept.select(F.xxhash64("tree", F.substring("run", 1, 4 * depth)).alias("bucket"), "node", "chars"))
+    buckets = materialise(kept.groupBy("bucket").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    near = materialise(join_groups(kept, buckets, ["bucket"], "n").where("n is not null").select("bucket", "node", "chars", "least"))
+
+    labelled = near.groupBy("node").agg(F.min("least").alias("label"), F.first("chars").alias("chars"))
+    home = materialise(labelled.repartitionByRange(parts, "label", "node").sortWithinPartitions("label", "node").mapInArrow(_blocks, "node long, block long"))
+    members = materialise(home.join(texts, "node").select("node", "doc", "mark", "runs"))
+    if not rows.groupBy("doc", "mark").count().where("count > 1").isEmpty():
+        named = named.dropDuplicates(["doc", "mark"])  # repeated rows are folded before they meet in one task
+    whole = named.join(members, ["doc", "mark"]).select("node", "text", "runs")
+    dealt = _units(near, home).join(whole, "node").repartition(parts, "low", "high").sortWithinPartitions("low", "high", "node")
+    verified = materialise(dealt.mapInArrow(lambda it: _verify(it, depth), "node long, links long, root long"))
+
+    group = components(verified.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component", "class")
+    links = verified.groupBy("node").agg(F.sum("links").alias("links")).join(group, "node", "left").join(members.drop("runs"), "node")
+    full = materialise(links.select("node", "links", "doc", "mark", F.coalesce("class", "node").alias("class")))
     tops = materialise(full.groupBy("class").agg(F.min(F.struct("doc", "mark")).alias("top"), F.count(F.lit(1)).alias("texts")))
-    named_classes = join_groups(full, tops, ["class"], "texts")
-    return rows.select("doc", "mark", "digest"), named_classes.select("digest", "copies", "links", F.col("top.doc").alias("top_doc"), F.col("top.mark").alias("top_mark"))
+    settled = join_groups(full.select("node", "links", "class"), tops, ["class"], "texts").select("node", "links", "top")
+    said = texts.join(settled, "node", "left").select(
+        "digest", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce(F.col("top.doc"), "doc").alias("top_doc"), F.coalesce(F.col("top.mark"), "mark").alias("top_mark"),
+    )
+    return rows.select("doc", "mark", "digest"), said
 
 
 def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,9 +384,15 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class, that of its smallest id, all columns as they were."""
+    """docs with one row of each class of near_join(), that of its smallest id, all columns as they were.
+
+    Nulls, empty texts and ids are taken as there. Of rows that share that id, the text of the least hash stays, and of
+    repeated rows the one with the least hash of all its columns. An empty table gives an empty result.
+    """
     _, said = _judge(docs, id_col, text_col)
-    tops = said.select("top_doc", "top_mark").distinct()
-    marked = docs.withColumns({"__d": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__m": F.xxhash64(text_of(text_col))})
-    kept = marked.join(tops.select(F.col("top_doc").alias("__d"), F.col("top_mark").alias("__m")), ["__d", "__m"], "left_semi")
-    return kept.dropDuplicates(["__d", "__m"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    tops = said.select(F.col("top_doc").alias("__d"), F.col("top_mark").alias("__m")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.select(row.alias("__row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__d"), F.xxhash64(text_of(text_col)).alias("__m"), row_hash(docs).alias("__h"))
+    # Folded before the exchange, as one row may be repeated very often.
+    one = marked.groupBy("__d", "__m").agg(F.min_by("__row", "__h").alias("__row"))
+    return one.join(tops, ["__d", "__m"], "left_semi").select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

@@ -63,7 +63,7 @@ def test_empty(make):
 
 
 def test_groups_of_several_blocks(make, monkeypatch):
-    # Blocks of 8: the group of 60 takes 36 pairs of blocks. Similarities lie around the threshold.
+    # Blocks of 8: the group of 60 takes 36 units. Similarities lie around the threshold.
     monkeypatch.setattr(N, "BLOCK", 8)
     rows = list(enumerate(variants(1, prose(9, 120), 60, 4) + variants(2, prose(10, 40), 10, 2) + [prose(100 + k, 30) for k in range(40)] + [prose(100, 30)] * 20))
     want, have = brute(rows), got(make(rows).repartition(6))
@@ -91,9 +91,59 @@ def test_verification_is_exact():
             assert met[a, b] == (5 * len(x & y) >= 4 * len(x | y))
 
 
-def test_depth_reaches_the_target():
-    depth, recall = N.depth_for(16, 6, 0.8, 0.995)
-    assert recall >= 0.995 and N.depth_for(16, depth + 1, 0.8, 0.995)[0] == depth
+def test_depth_shortens_until_the_target():
+    assert N.fit_depth({}, 0.995) == (5, N.expected_recall(5))  # nothing sampled: the expectation at the threshold
+    deep = {k * (N.DEPTH + 1) + N.DEPTH: 5 for k in range(400)}  # all links share whole runs
+    assert N.fit_depth(deep, 0.998)[0] == N.DEPTH
+    shallow = {k * (N.DEPTH + 1) + 3: 5 for k in range(400)}
+    depth, recall = N.fit_depth(shallow, 0.998)
+    assert depth == 3 and recall >= 0.998 and N.measured_recall(shallow)[4] < 0.998
+
+
+def test_sampled_links_are_those_of_brute_force():
+    texts = variants(4, prose(21, 60), 40, 3) + [prose(300 + k, 40) for k in range(20)]
+    sample, words = N.build_sample(texts[:25]), {}
+    words = N._Words()
+    for t in texts:
+        digest, found = N.shingles(t, words)
+        runs = N.runs_of(found)
+        want = []
+        for k, other in enumerate(sample.digests):
+            x = next(s for d, s in (N.shingles(o, words) for o in texts[:25]) if d == other)
+            both = len(set(x.tolist()) & set(found.tolist()))
+            if other != digest and 5 * both >= 4 * (len(x) + len(found) - both):
+                shared = [int(next((i for i in range(N.DEPTH) if a[i] != b[i]), N.DEPTH)) for a, b in zip(N.runs_of(x), runs)]
+                want.append(k * (N.DEPTH + 1) + max(shared))
+        assert N.sampled_links(digest, found, runs, sample) == want
+
+
+def test_neighbours_in_the_sorted_tries(monkeypatch):
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    rows = sorted((int(t), r.integers(0, 3, N.DEPTH).astype(">u4").tobytes()) for t in r.integers(0, 2, 300))
+    for depth in (1, 3, 6):
+        want = {i for i in range(1, 299) for j in (i - 1, i + 1) if rows[i][0] == rows[j][0] and rows[i][1][: 4 * depth] == rows[j][1][: 4 * depth]} | {0, 299}
+        whole = pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary()), pa.array(range(300), pa.int64()), pa.array([1] * 300, pa.int64())], ["tree", "run", "node", "chars"])
+        for size in (1, 7, 300):
+            got = [n for b in N._matched(iter([whole.slice(k, size) for k in range(0, 300, size)]), depth) for n in b.column("node").to_pylist()]
+            assert got == sorted(want)
+
+
+def test_results_do_not_depend_on_partitions(spark, make):
+    rows = list(enumerate(variants(6, prose(31, 80), 50, 3) + [prose(400 + k, 30) for k in range(30)]))
+    first = got(make(rows).repartition(2))
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        assert got(make(rows).repartition(5)) == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_repeated_rows_that_differ_elsewhere(spark):
+    rows = [(7, prose(50, 30), "b"), (7, prose(50, 30), "a"), (9, prose(50, 30), "c")]
+    kept = {tuple(N.keep_one(spark.createDataFrame(x, "doc_id long, text string, lang string")).collect()[0]) for x in (rows, rows[::-1])}
+    assert len(kept) == 1 and kept.pop()[0] == 7
 
 
 def test_components(spark):
