@@ -1,10 +1,11 @@
 """Exact deduplication by a tree merge of sorted digest runs, in DataFrame operations only.
 
-Every row has a lane, at first that of the partition it was read in: a lane's rows, sorted by digest and folded, are
-one run. A round replaces some bits of the lane by bits of the digest, so that groups of FAN lanes exchange runs and
-each merges FAN of them (a binomial exchange, FAN = 2 ** STEP of its rounds at a time). What a run retains of a digest
-is a count and the row that stays. When all bits are the digest's, each digest has met all its runs. No single root
-holds them all: the last level is as wide as the first, and a digest that a third of all rows share is one row a run.
+A lane is a partition. At first a row's lane is that of the partition it was read in: a lane's rows, sorted by digest
+and folded, are its run. A round replaces some bits of the lane by bits of the digest, so that groups of FAN lanes, and
+no others, exchange parts of their runs, and each merges the FAN parts it received (a binomial exchange, FAN = 2 ** STEP
+of its rounds at a time). What a run retains of a digest is a count and the row that stays. When all bits are the
+digest's, each digest has met all its runs. No single root holds them all: the last level is as wide as the first, and
+a digest that a third of all rows share is one row a run.
 
 Equality is verified at every level: runs are merged on the SHA-256 digest, an independent 64-bit hash and the length
 of the normalised text together.
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, id_key, join_groups, materialise, partitions, text_of
+from .common import SPACES, id_key, join_groups, materialise, partitions, row_hash, text_of
 
 #: Bits of the lane that a round replaces: 2 ** STEP runs meet in a merge.
 STEP = 3
@@ -29,18 +30,28 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return named.select("id", F.unhex(F.sha2("bare", 256)).alias("digest"), F.xxhash64("bare").alias("mark"), F.length("bare").alias("width"), F.length("whole").alias("points"))
 
 
+def _folded(runs: DataFrame, lanes: int) -> DataFrame:
+    """The runs dealt to their lanes, one partition a lane, and merged there.
+
+    The exchange is by the lane alone, so grouping by (lane, digest) needs no other: Spark sorts what a lane received
+    and folds it as a stream.
+    """
+    return runs.repartitionById(lanes, F.col("lane").cast("int")).groupBy("lane", *KEYS).agg(F.min("best").alias("best"), F.sum("size").alias("size"))
+
+
 def merge_runs(rows: DataFrame) -> DataFrame:
     """One row a digest: KEYS, best (less, gone, id, row) and size."""
     bits = max(STEP, (partitions(rows.sparkSession) - 1).bit_length())
-    aim = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("bigint")
-    runs = rows.select(
-        *KEYS, aim.bitwiseAND((1 << bits) - 1).alias("aim"), F.spark_partition_id().cast("bigint").bitwiseAND((1 << bits) - 1).alias("lane"),
+    lanes = 1 << bits
+    aim = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("bigint").bitwiseAND(lanes - 1)
+    first = rows.select(
+        *KEYS, F.spark_partition_id().cast("bigint").bitwiseAND(lanes - 1).alias("lane"),
         F.struct((-F.col("points")).alias("less"), F.col("id").isNull().alias("gone"), "id", "row").alias("best"), F.lit(1).cast("bigint").alias("size"),
     )
+    runs = _folded(first, lanes)
     for low in range(0, bits, STEP):
-        mask = ((1 << STEP) - 1 << low) & ((1 << bits) - 1)
-        lane = F.col("lane").bitwiseAND(~mask).bitwiseOR(F.col("aim").bitwiseAND(mask))
-        runs = runs.withColumn("lane", lane).groupBy("lane", "aim", *KEYS).agg(F.min("best").alias("best"), F.sum("size").alias("size"))
+        mask = ((1 << STEP) - 1 << low) & (lanes - 1)
+        runs = _folded(runs.withColumn("lane", F.col("lane").bitwiseAND(~mask).bitwiseOR(aim.bitwiseAND(mask))), lanes)
     return runs.select(*KEYS, "best", "size")
 
 
@@ -64,11 +75,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that dedup() drops, all columns as they were."""
+    """docs without the rows that dedup() drops, all columns as they were, whatever their names.
+
+    Null and empty texts are copies of blank ones. Of repeated rows (same id, equal texts) the longest stays, and of
+    those as long the one with the least hash of all its columns. An empty table gives an empty result.
+    """
     verdict = dedup(docs, id_col, text_col).where("kept").select(id_key(id_col).alias("__i"), F.unhex("text_sha256").alias("__g"))
     bare = F.translate(text_of(text_col), SPACES, "")
-    marked = docs.select("*", id_key(id_col).alias("__i"), F.unhex(F.sha2(bare, 256)).alias("__g"), F.length(text_of(text_col)).alias("__n"))
-    # Rows that repeat an id with equal texts meet in one partition here; the longest of them stays, as in dedup().
-    longest = F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), "__n").alias("__row")
-    kept = marked.join(verdict, ["__i", "__g"], "left_semi").groupBy("__i", "__g").agg(longest)
-    return kept.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.select(row.alias("__row"), id_key(id_col).alias("__i"), F.unhex(F.sha2(bare, 256)).alias("__g"), F.struct((-F.length(text_of(text_col))).alias("n"), row_hash(docs).alias("h")).alias("__n"))
+    # Folded before the exchange: rows that repeat an id with equal texts may be a large share of all.
+    longest = marked.groupBy("__i", "__g").agg(F.min_by("__row", "__n").alias("__row"))
+    return longest.join(verdict, ["__i", "__g"], "left_semi").select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
