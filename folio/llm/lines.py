@@ -124,7 +124,8 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(doc, mark, pos): the lines to drop; mark is a hash of the document's text."""
     spark = docs.sparkSession
-    hashed = _named(docs, id_col, text_col).mapInArrow(lambda it: _hash_lines(it, min_chars), LINES)
+    # Written once: the range sampler would hash every line a second time.
+    hashed = materialise(_named(docs, id_col, text_col).mapInArrow(lambda it: _hash_lines(it, min_chars), LINES))
     order = [F.col("h1"), F.col("h2"), F.col("doc").desc(), F.col("mark"), F.col("pos")]
     dealt = hashed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     marks = materialise(dealt.mapInArrow(lambda it: _stream(it, min_docs), MARKS))
@@ -151,8 +152,10 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc, mark, bitmap) of the documents that lose lines.
 
     bitmap is zlib over bits, the first line in the lowest bit of the first byte; 1 is kept, and lines beyond it are.
+    mark is a hash of the text (null as empty), doc the id (null as NO_ID); repeated rows share one bitmap. Other columns
+    are ignored; an empty table gives an empty result.
     """
-    by = dropped_lines(docs, id_col, text_col, min_chars, min_docs).groupBy("doc", "mark").agg(F.collect_list("pos").alias("at"))
+    by = dropped_lines(docs, id_col, text_col, min_chars, min_docs).groupBy("doc", "mark").agg(F.collect_set("pos").alias("at"))
     return by.mapInArrow(_to_bitmap, "doc long, mark long, bitmap binary")
 
 
