@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import slices, text_of
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -32,8 +34,9 @@ CLASSES = {
 }
 #: What a span holds that is no secret: words alone, numbers alone, dates and identifiers with dashes.
 ALLOW = [
-    re.compile(r"(?:[A-Za-z]?[a-z]*|[A-Z]+)(?:[-_/+=](?:[A-Za-z]?[a-z]*|[A-Z]+))*"),
-    re.compile(r"[0-9+/_=-]+"),
+    # Possessive, so that no run of joined words can be read in two ways.
+    re.compile(r"(?:[A-Z]{2,}+|[A-Za-z]?+[a-z]*+)(?:[-_/+=](?:[A-Z]{2,}+|[A-Za-z]?+[a-z]*+))*+"),
+    re.compile(r"[0-9+/_=-]++"),
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),
 ]
 
@@ -99,7 +102,11 @@ def entropy_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str
             joined[-1][1] = max(joined[-1][1], e)
         else:
             joined.append([s, e])
-    return [("entropy", s, e) for s, e in joined if not any(b <= s and e <= f for _, b, f in base)]
+    # Covered is what begins behind a base span's start and ends before the furthest end of those that began by then.
+    ordered = sorted((b, f) for _, b, f in base)
+    starts, furthest = [b for b, _ in ordered], list(accumulate((f for _, f in ordered), max))
+    covered = lambda s, e: (k := bisect_right(starts, s)) > 0 and furthest[k - 1] >= e
+    return [("entropy", s, e) for s, e in joined if not covered(s, e)]
 
 
 def order(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -110,7 +117,7 @@ SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "text", 2048, 1 << 23)):
         rows = []
         for text in batch.column("text").to_pylist():
             base = base_spans(text)
