@@ -21,14 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import numbered, text_of
+from .common import numbered, slices, text_of
 
 WORD = re.compile(r"\w+")
 #: Characters of a q-gram, of a segment, from one segment to the next; edits allowed for a character of a segment.
 Q, SEGMENT, STRIDE, RATE = 10, 80, 6, 0.08
 #: Characters of benchmark text in one broadcast index; a larger benchmark is worked through in parts of this size.
-PART = 8_000_000
+PART = 2_000_000
 BITS = 22
 
 _BASE = [pow(0x100000001B3, 2**i, 2**64) for i in range(5)]
@@ -68,8 +69,9 @@ def code_points(text: str) -> np.ndarray:
 class Index:
     """Normalised benchmark items, and where each of their q-grams is."""
 
-    names: list[int]
+    names: list
     flats: list[str]
+    short: dict[str, list]  # items of fewer than Q characters, by text
     size: np.ndarray  # of an item's segments; edits allowed for one, and hits that it needs
     allowed: np.ndarray
     needed: np.ndarray
@@ -107,8 +109,13 @@ def segment_starts(n: int, low: int, high: int) -> np.ndarray:
 
 
 def build(rows: list[tuple[int, str]]) -> Index:
-    """Index of (item, text) rows. Items of fewer than Q normalised characters can't be told from chance; they are left out."""
-    kept = [(item, flat) for item, text in rows if len(flat := normal(text)) >= Q]
+    """Index of (item, text) rows."""
+    kept, short = [], {}
+    for item, text in rows:
+        if len(flat := normal(text)) >= Q:
+            kept.append((item, flat))
+        elif flat and item not in short.setdefault(flat, []):
+            short[flat].append(item)
     names, flats = [x for x, _ in kept], [x for _, x in kept]
     size = np.array([min(len(t), SEGMENT) for t in flats], "i8")
     allowed = np.minimum((size * RATE).astype("i8"), (size - Q) // Q)
@@ -120,7 +127,7 @@ def build(rows: list[tuple[int, str]]) -> Index:
     hashes, first = np.unique(flat[order], return_index=True)
     mask = np.zeros(1 << BITS, bool)
     mask[hashes >> np.uint64(64 - BITS)] = True
-    return Index(names, flats, size, allowed, size - Q + 1 - allowed * Q, mask, hashes, np.r_[first, len(flat)], item[order].astype("i8"), place[order].astype("i8"))
+    return Index(names, flats, short, size, allowed, size - Q + 1 - allowed * Q, mask, hashes, np.r_[first, len(flat)], item[order].astype("i4"), place[order].astype("i4"))
 
 
 def aligned(item: np.ndarray, begin: np.ndarray, size: int, doc: np.ndarray, low: int, width: int, edits: int) -> tuple[int, int, int] | None:
@@ -159,7 +166,7 @@ def matches(flats: list[str], index: Index) -> list[tuple[int, int, int, int, in
     at, which = at[same], which[same]
     counts = index.starts[which + 1] - index.starts[which]
     posting = np.repeat(index.starts[which] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
-    at, item, place = np.repeat(at, counts), index.item[posting], index.place[posting]
+    at, item, place = np.repeat(at, counts), index.item[posting].astype("i8"), index.place[posting].astype("i8")
     doc = np.searchsorted(starts, at, "right") - 1
     # Most hits are chance ones: a document has too few of the item.
     pair = doc * len(index.flats) + item
@@ -204,59 +211,81 @@ def matches(flats: list[str], index: Index) -> list[tuple[int, int, int, int, in
                 got = aligned(flat, begin[part : part + 4096], int(index.size[x]), text, low, 2 * int(index.allowed[x]) + 2, int(index.allowed[x]))
                 if got:
                     found[row, x] = min(found.get((row, x), got), got)
-    best_of: dict[tuple[int, int], tuple[int, int, int]] = {}  # rows of one item id give one match
-    for (row, x), got in found.items():
-        best_of[row, index.names[x]] = min(best_of.get((row, index.names[x]), got), got)
-    return sorted((row, name, s, e, n) for (row, name), (n, s, e) in best_of.items())
+    return [(row, x, s, e, n) for (row, x), (n, s, e) in sorted(found.items())]
+
+
+def short_matches(text: str, index: Index) -> Iterator[tuple[object, int, int]]:
+    """(item, start, end) of the short items that are a whole line of the text: within a line they can't be told from
+    chance. Places are those of the normalised text."""
+    at = 0
+    for line in text.split("\n"):
+        if flat := normal(line):
+            for item in index.short.get(flat, ()):
+                yield item, at, at + len(flat)
+            at += len(flat) + 1
+
+
+def found_in(texts: list[str], index: Index) -> list[tuple[int, object, int, int, int]]:
+    """(row, item id, start, end, edits) for each text and item id that it holds; rows of one item id give one match."""
+    best: dict[tuple[int, object], tuple[int, int, int]] = {}
+    got = [(row, index.names[x], s, e, n) for row, x, s, e, n in matches([normal(t) for t in texts], index)]
+    if index.short:
+        got += [(row, item, s, e, 0) for row, t in enumerate(texts) for item, s, e in short_matches(t, index)]
+    for row, item, s, e, n in got:
+        best[row, item] = min(best.get((row, item), (n, s, e)), (n, s, e))
+    return [(row, item, s, e, n) for (row, item), (n, s, e) in sorted(best.items(), key=lambda x: (x[0][0], x[1][1], x[1][2], str(x[0][1])))]
 
 
 def _parts(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
-    """Indexes of bounded size that together hold the whole benchmark."""
+    """Indexes of bounded size that together hold the whole benchmark; the rows of one item id are in one of them."""
     rows = benchmark.select(F.col(id_col).alias("item"), text_of(text_col).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = int(total // PART) + 1
     for part in range(parts):
-        here = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
+        here = rows.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
         yield build([(r["item"], r["text"]) for r in here.toLocalIterator()])
 
 
-def _scan(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
-            got = matches([normal(t) for t in part.column("text").to_pylist()], index)
-            row, item, start, end, edits = zip(*got) if got else [()] * 5
-            cols = [part.column("doc").take(pa.array(row, pa.int64())), *[pa.array(x, pa.int64()) for x in (item, start, end, edits)]]
-            yield pa.RecordBatch.from_arrays(cols, ["doc", "item", "start", "end", "edits"])
+#: Rows and bytes of text that are searched at a time.
+ROWS, BYTES = 64, 1 << 21
+
+
+def _scan(batches: Iterator[pa.RecordBatch], index: Index, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    for part in (part for batch in batches for part in slices(batch, "text", ROWS, BYTES)):
+        got = found_in(part.column("text").to_pylist(), index)
+        row, item, start, end, edits = zip(*got) if got else [()] * 5
+        cols = [part.column("doc").take(pa.array(row, pa.int64())), pa.array(item, kind), *[pa.array(x, pa.int64()) for x in (start, end, edits)]]
+        yield pa.RecordBatch.from_arrays(cols, ["doc", "item", "start", "end", "edits"])
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id_col, item_col, start, end, edits): one row a document and benchmark item that it holds a segment of.
+    """(id_col, item_col, start, end, edits): one row a document and benchmark item id that it holds a segment of.
 
     start and end are places in the normalised document (lower-cased words with single spaces), edits those of the
-    item's best segment. Repeated rows give repeated results; a null id stays null; null and empty texts on either
-    side match nothing, nor do items of fewer than Q normalised characters. Other columns are ignored.
+    item's best segment. An item of fewer than Q normalised characters is found where it is a whole line. Repeated rows
+    give repeated results; rows that share an item id, a null one too, are one item. A null id stays null; null and empty
+    texts on either side match nothing, an empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     named = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text"))
+    kind = benchmark.schema[item_col].dataType
     out = None
     for index in _parts(benchmark, item_col, item_text):
         sent = spark.sparkContext.broadcast(index)
-        part = named.mapInArrow(lambda it, sent=sent: _scan(it, sent.value), "doc long, item long, start long, end long, edits long")
+        part = named.mapInArrow(lambda it, sent=sent: _scan(it, sent.value, to_arrow_type(kind)), f"doc long, item {kind.simpleString()}, start long, end long, edits long")
         out = part if out is None else out.union(part)
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "start", "end", "edits")
 
 
 def _clean(batches: Iterator[pa.RecordBatch], index: Index, text: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
-            bad = {m[0] for m in matches([normal(t or "") for t in part.column(text).to_pylist()], index)}
-            yield part.take(pa.array([i for i in range(part.num_rows) if i not in bad], pa.int64()))
+    for part in (part for batch in batches for part in slices(batch, text, ROWS, BYTES)):
+        bad = {m[0] for m in found_in([t or "" for t in part.column(text).to_pylist()], index)}
+        yield part.take(pa.array([i for i in range(part.num_rows) if i not in bad], pa.int64()))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without the rows that find() reports, all columns as they were; rows are filtered where they are."""
+    """docs without the rows that find() reports, all columns as they were, whatever their names; rows are filtered where
+    they are. Null and empty texts stay, repeated rows go or stay alike, an empty table gives an empty result."""
     rows, text = numbered(docs), docs.columns.index(text_col)
     for index in _parts(benchmark, item_col, item_text):
         sent = docs.sparkSession.sparkContext.broadcast(index)
