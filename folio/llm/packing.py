@@ -1,15 +1,19 @@
 """Packing of documents into training sequences in the order of a space-filling curve.
 
 A document's text is hashed to a vector of n-gram counts, which is projected to a few dimensions; the cell's index on a
-Hilbert curve is its key. Rows are range-partitioned and sorted by (key, id, hash), so ties spread over partitions, and
-each partition packs its documents as a stream, cutting them at sequence ends: neighbours on the curve share sequences.
+Hilbert curve is its key. Ranges of (key, id, hash) are cut by bytes of text from a table without texts, so that long
+documents, which lie close to each other on the curve, don't gather in few ranges, and their number grows with the
+input. Texts are then dealt to their ranges and sorted, and each range packs its documents as a stream, cutting them at
+sequence ends: neighbours on the curve share sequences.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, text_of
+from .common import materialise, partitions, slices, text_of
 
 LENGTH, END_ID = 2048, 1
 #: Dimensions of the curve, bits of each, cells' range, buckets of hashed n-grams, bytes of an n-gram.
 DIMS, BITS, SPAN, BUCKETS = 4, 10, 4.0, 4096
 STEP = 1 << 20
+#: Bytes of text that a range holds if there are more ranges than shuffle partitions, and that weigh as one row in
+#: cutting ranges.
+RANGE_BYTES, UNIT = 1 << 25, 2048
+#: A null id sorts before all others.
+NO_ID = -(2**63)
 
 
 def projection(seed: int = 7) -> np.ndarray:
@@ -185,18 +194,25 @@ class Packer:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch], onto: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            keys = curve_keys(part.column("text").to_pylist(), onto)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64())], [*part.schema.names, "key"])
+    for batch in (part for whole in batches for part in slices(whole, "text", 256, 1 << 24)):
+        texts = batch.column("text").to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("mark"), pa.array(curve_keys(texts, onto), pa.int64()), pa.array(map(len, texts), pa.int64())], ["doc", "mark", "key", "chars"])
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], onto: np.ndarray, bounds: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+    """Each row's range: the last whose lower bound is not above it."""
+    for batch in (part for whole in batches for part in slices(whole, "text", 256, 1 << 24)):
+        keys = curve_keys(batch.column("text").to_pylist(), onto).tolist()
+        rows = zip(keys, (NO_ID if d is None else d for d in batch.column("doc").to_pylist()), batch.column("mark").to_pylist())
+        place = pa.array([max(0, bisect_right(bounds, row) - 1) for row in rows], pa.int32())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64()), place], [*batch.schema.names, "key", "range"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch], files: tuple, with_ids: bool, length: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     encode, packer = tokens(files), Packer(TaskContext.get().partitionId() << 40, length)
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "text", 1024, 1 << 24)):
         for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
             packer.add(doc, encode(text) + END_ID.to_bytes(4, "little"))
             if len(packer.done) >= 4096:
@@ -214,11 +230,18 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern: st
     sizes are falling powers of two: nothing is padded. Repeated rows and null ids are documents like any other; other
     columns are ignored; no rows give no rows. length must be a power of two.
     """
-    files = (vocabulary, ranks, pattern)
+    files, spark = (vocabulary, ranks, pattern), docs.sparkSession
     onto = projection()
     named = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_of(text_col)).alias("mark"), text_of(text_col).alias("text"))
-    keyed = named.mapInArrow(lambda it: _keyed(it, onto), "doc long, mark long, text string, key long")
-    order = ["key", "doc", "mark"]
-    dealt = keyed.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-    made = dealt.select("doc", "text").mapInArrow(lambda it: _pack(it, files, with_ids, length), "doc long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
-    return made.select(F.col("doc").alias(id_col), *PIECES[1:])
+    placed = materialise(named.mapInArrow(lambda it: _keyed(it, onto), "doc long, mark long, key long, chars long"))
+    # Rows stand for UNIT characters each, so that ranges of as many rows are ranges of as much text.
+    order, last = ["key", "doc", "mark"], F.floor(F.col("chars") / UNIT)
+    total = placed.agg(F.coalesce(F.sum(last + 1), F.lit(0)).alias("n")).first()["n"]
+    ranges = max(partitions(spark), math.ceil(total * UNIT / RANGE_BYTES))
+    units = placed.select("key", F.coalesce("doc", F.lit(NO_ID)).alias("doc"), "mark", F.explode(F.sequence(F.lit(0), last)).alias("unit"))
+    cut = units.repartitionByRange(ranges, *order, "unit").groupBy(F.spark_partition_id().alias("range")).agg(F.min(F.struct(*order)).alias("least"))
+    bounds = sorted(tuple(r["least"]) for r in cut.collect())
+    made = named.mapInArrow(lambda it: _dealt(it, onto, bounds), "doc long, mark long, text string, key long, range int")
+    dealt = made.repartitionById(ranges, F.col("range")).sortWithinPartitions(*order)
+    packed = dealt.select("doc", "text").mapInArrow(lambda it: _pack(it, files, with_ids, length), "doc long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return packed.select(F.col("doc").alias(id_col), *PIECES[1:])

@@ -103,6 +103,19 @@ def test_every_id_is_packed_once(make, odd_rows):
     assert packing.pack(make([]), *tokenizer_files()).count() == 0
 
 
+def test_ranges_are_cut_by_text(make, spark, monkeypatch):
+    from llm_texts import prose
+
+    rows = [(i, prose(i, 3000 if i % 40 == 0 else 10)) for i in range(400)]
+    monkeypatch.setattr(packing, "RANGE_BYTES", 20_000)
+    monkeypatch.setattr(packing, "UNIT", 200)
+    check(make(rows), rows, tokenizer_files())
+    tokens = {}
+    for r in packing.pack(make(rows), *tokenizer_files()).collect():
+        tokens[r.sequence_id >> 40] = tokens.get(r.sequence_id >> 40, 0) + r.length
+    assert len(tokens) >= 8 and max(tokens.values()) < 3 * sum(tokens.values()) / len(tokens)
+
+
 def test_tokens_equal_the_library():
     from tokenizers import Tokenizer
 
