@@ -62,7 +62,7 @@ def fit(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     """log(target / all) of each bucket. targets has the ids of target rows; of more than TARGETS, a hash picks some."""
     n = targets.count()
     draw = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 30)) / (1 << 30)
-    ids = targets.select(F.col(id_col).alias("id")).where("id is not null").where(draw <= 1.1 * TARGETS / max(1, n)).distinct().limit(TARGETS)
+    ids = targets.select(F.col(id_col).alias("id")).where("id is not null").where(draw <= 1.1 * TARGETS / max(1, n)).distinct().orderBy(draw, "id").limit(TARGETS)
     named = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     marked = named.join(F.broadcast(ids.withColumn("target", F.lit(True))), "id", "left").select(F.coalesce("target", F.lit(False)).alias("target"), "text")
     rows = marked.mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()

@@ -32,8 +32,9 @@ DIM = 1 << 20
 LOW, HIGH = 4, 5
 #: Characters of the longest word that is cached, and of a part of a word whose pieces are held at a time.
 LONG, CHUNK = 64, 1 << 16
-#: A feature needs this many of the sampled positives, or this share of them, and to be toxic text's to this share.
-LEAST, PART, PURITY = 5, 0.02, 0.75
+#: A feature needs this many of the sampled positives, enough of them that EVIDENCE unlabelled texts would hold it too if
+#: none but toxic texts did, and to be toxic text's to the share PURITY.
+LEAST, EVIDENCE, PURITY = 5, 3.0, 0.75
 #: Bounds on the training sample, in documents.
 POSITIVES, UNLABELLED = 4000, 12000
 #: A document counts as toxic from this score.
@@ -88,35 +89,45 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], chosen: list[int], prior: float) -> Model:
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risk(theta: np.ndarray, positive: tuple, unlabelled: tuple, prior: float) -> tuple[float, float, np.ndarray]:
+    """The positives' risk, the negatives' (unlabelled less positives), and the gradient that training follows: that of
+    their sum, or, where the negatives' risk is below zero, that of raising it. The samples are (column of each feature
+    held, its row, number of rows); theta has the bias last."""
+    (cp, of_p, n_pos), (cu, of_u, n_unl) = positive, unlabelled
+    zp, zu = (np.bincount(of, theta[cols], n) + theta[-1] for cols, of, n in (positive, unlabelled))
+    on_positive = prior * np.logaddexp(0, -zp).mean()
+    on_negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    # By score: the gradient of the positives' risk, and of the negatives' as unlabelled less positives.
+    gp, hp, gu = -prior * _sigmoid(-zp) / n_pos, -prior * _sigmoid(zp) / n_pos, _sigmoid(zu) / n_unl
+    gp, gu = (gp + hp, gu) if on_negative >= 0 else (-hp, -gu)
+    g = np.zeros(len(theta)) + np.bincount(cp, gp[of_p], len(theta)) + np.bincount(cu, gu[of_u], len(theta))
+    g[-1] += gp.sum() + gu.sum()
+    return on_positive, on_negative, g
+
+
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], chosen: list[int], prior: float, signed: bool = False) -> Model:
     """Fit weights of the chosen features, which the rows name by place, by Adam on the non-negative logistic risk.
 
-    Without either kind of sample, nothing is toxic.
+    Weights are not negative unless signed. Without either kind of sample, nothing is toxic.
     """
     if not positive or not unlabelled:
         return Model({}, -10.0, prior)
-    n_pos, n_unl = len(positive), len(unlabelled)
-    (cp, of_p), (cu, of_u) = ((np.concatenate(rows).astype("i8"), np.repeat(np.arange(len(rows)), [len(r) for r in rows])) for rows in (positive, unlabelled))
+    sides = [(np.concatenate(rows).astype("i8"), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), len(rows)) for rows in (positive, unlabelled)]
     # The state of each parameter, the bias last: value and Adam's two moments.
     theta, m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     theta[-1] = -2.0
-
-    def sigmoid(z: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
     for t in range(1, STEPS + 1):
-        zp, zu = (np.bincount(of, theta[cols], n) + theta[-1] for of, cols, n in ((of_p, cp, n_pos), (of_u, cu, n_unl)))
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        # By score: the gradient of the positives' risk, and of the negatives' as unlabelled less positives.
-        gp, hp, hu = -prior * sigmoid(-zp) / n_pos, -prior * sigmoid(zp) / n_pos, sigmoid(zu) / n_unl
-        gp, gu = (gp + hp, hu) if negative >= 0 else (-hp, -hu)
-        g = DECAY * theta
-        g[:-1] += np.bincount(cp, gp[of_p], len(chosen)) + np.bincount(cu, gu[of_u], len(chosen))
-        g[-1] = gp.sum() + gu.sum()
+        g = risk(theta, *sides, prior)[2]
+        g[:-1] += DECAY * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        theta[:-1] = np.maximum(theta[:-1], 0)
-    return Model({f: w for f, w in zip(chosen, theta.tolist()) if w > 0}, float(theta[-1]), prior)
+        if not signed:
+            theta[:-1] = np.maximum(theta[:-1], 0)
+    return Model({f: w for f, w in zip(chosen, theta.tolist()) if w}, float(theta[-1]), prior)
 
 
 def held_out(id_col: str) -> Column:
@@ -147,29 +158,44 @@ def _placed(batches: Iterator[pa.RecordBatch], chosen: list[int]) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(made, pa.binary())], ["toxic", "at"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Train on at most POSITIVES rows labelled 1 and UNLABELLED rows of docs of any label or none, out of the learning
-    folds; both are picked by a hash of the id, the prior is the share of 1 among all labels of these folds."""
+def _drawn(rows: DataFrame, seed: int, most: int) -> DataFrame:
+    """At most so many of the rows (id, text): those of the least hashes of both, whatever the partitions."""
+    h = F.xxhash64("id", "text", F.lit(seed))
+    share = F.pmod(h, F.lit(1 << 30)) / (1 << 30)
+    # A little over the bound by hash, then the bound itself: what is sorted is no more than that many rows.
+    return rows.where(share <= 1.2 * most / max(1, rows.count())).orderBy(share, "id", "text").limit(most)
+
+
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, float] | None:
+    """The training sample (toxic, text) as a scratch table, and the prior; None where no row is labelled 1."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), (F.col(label_col) == 1).alias("toxic"))
     n, n_toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0))).first()
-    n_docs = docs.count()
-    if not n_toxic or not n_docs:
-        return Model({}, -10.0, 0.0)
-    # A share a little over the bound by hash, then the bound itself: the limits see no more than that many rows.
-    draw = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / (1 << 30)
-    picked = known.where("toxic").where(draw <= 1.1 * POSITIVES / n_toxic).select("id").distinct().limit(POSITIVES)
+    if not n_toxic:
+        return None
     named = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).where(~held_out("id"))
-    positive = named.join(F.broadcast(picked), "id").select(F.lit(True).alias("toxic"), "id", "text")
-    other = named.where(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 30)) / (1 << 30) <= 1.1 * UNLABELLED / n_docs).limit(UNLABELLED).select(F.lit(False).alias("toxic"), "id", "text")
+    draw = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / (1 << 30)
+    picked = known.where("toxic").select("id").where(draw <= 1.2 * POSITIVES / n_toxic).distinct().orderBy(draw, "id").limit(POSITIVES)
+    positive = _drawn(named.join(F.broadcast(picked), "id"), 19, POSITIVES).dropDuplicates(["text"])
+    other = _drawn(named, 23, UNLABELLED)
+    both = positive.select(F.lit(True).alias("toxic"), "text", "id").union(other.select(F.lit(False).alias("toxic"), "text", "id"))
     # Texts, not features, lie in the scratch table: these would be several times as large. The limits left few partitions.
-    sample = materialise(positive.union(other).repartition(partitions(docs.sparkSession), F.xxhash64("id", "text")).drop("id"))
+    return materialise(both.repartition(partitions(docs.sparkSession), F.xxhash64("id", "text")).drop("id")), n_toxic / n
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Train on at most POSITIVES different texts labelled 1 and UNLABELLED rows of docs of any label or none, out of the
+    learning folds; both are those of the least hashes, so neither rows' order nor partitions change the model. The prior
+    is the share of 1 among all labels of these folds."""
+    drawn = sampled(docs, labels, id_col, text_col, label_col)
+    if drawn is None:
+        return Model({}, -10.0, 0.0)
+    sample, prior = drawn
     n_pos, n_unl = sample.agg(F.count(F.when(F.col("toxic"), 1)), F.count(F.when(~F.col("toxic"), 1))).first()
-    prior = n_toxic / n
     counts = sample.mapInArrow(_frequencies, "feature long, pos long, unl long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("unl").alias("unl"))
-    pure = prior * (F.col("pos") / max(1, n_pos)) / ((F.col("unl") + 0.5) / max(1, n_unl)) >= PURITY
-    chosen = sorted(r["feature"] for r in counts.where((F.col("pos") >= max(LEAST, PART * n_pos)) & pure).collect())
+    expected = prior * n_unl / max(1, n_pos) * F.col("pos")  # unlabelled texts that would hold a feature of toxic text alone
+    chosen = sorted(r["feature"] for r in counts.where((F.col("pos") >= LEAST) & (expected >= EVIDENCE) & (expected >= PURITY * (F.col("unl") + 0.5))).collect())
     rows = sample.mapInArrow(lambda it: _placed(it, chosen), "toxic boolean, at binary").collect()
-    split = [[np.frombuffer(bytes(r["at"]), "i4") for r in rows if r["toxic"] == kind] for kind in (True, False)]
+    split = [[np.frombuffer(bytes(r["at"]), "i4") for r in sorted(rows, key=lambda r: bytes(r["at"])) if r["toxic"] == kind] for kind in (True, False)]
     return train(*split, chosen, prior)
 
 
@@ -198,5 +224,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs without the rows that score BAR or more, all columns as they were."""
+    """docs without the rows that score BAR or more, all columns as they were, whatever their names.
+
+    Null and empty texts stay, repeated rows go or stay alike, an empty table gives an empty result.
+    """
     return _with_score(docs, model, text_col).where(F.col("__score") < BAR).drop("__score")
