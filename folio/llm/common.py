@@ -34,9 +34,12 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def write(df: DataFrame) -> tuple[DataFrame, str]:
-    """df, written once to the shared folder and read back, and where it lies."""
+    """df, written once to the shared folder and read back, and where it lies; what is still there when the driver's JVM
+    ends is deleted then."""
     path = f"{scratch_root(df.sparkSession)}/folio-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where, fs = _file(df.sparkSession, path)
+    fs.deleteOnExit(where)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -50,9 +53,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return back
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def _file(spark: SparkSession, path: str) -> tuple:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where, fs = _file(spark, path)
+    fs.delete(where, True)
 
 
 def release(spark: SparkSession) -> None:

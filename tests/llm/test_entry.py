@@ -54,3 +54,22 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.5 * sizes[0]
     run = {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()}
     assert run == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+ODD = [(1, None), (2, ""), (2, ""), (3, " \n"), (4, "some words here " * 20), (4, "some words here " * 20), (None, "some words  here " * 20), (None, None)]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_and_empty_tables(make, spark, tmp_path, name):
+    spark.createDataFrame([(4, 1, 0), (None, None, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(None, None), (1, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stage, df = dict(corpus_pipeline.STAGES)[name], make(ODD)
+    done = stage(spark, df, str(tmp_path))
+    kept = sorted((str(r.doc_id) for r in done.collect()))
+    if name in ("exact_copies", "near_copies"):
+        assert len(kept) == {"exact_copies": 2, "near_copies": 3}[name] and done.columns == df.columns
+    elif name == "packed":
+        assert set(kept) == {"1", "2", "3", "4", "None"}
+    else:
+        assert len(kept) == len(ODD) and done.columns == df.columns
+    assert stage(spark, make([]), str(tmp_path)).count() == 0
