@@ -32,7 +32,7 @@ WORD = re.compile(r"\w+")
 GRAM, THRESHOLD = 5, Fraction(4, 5)
 TREES, DEPTH, TARGET = 16, 6, 0.998
 #: Bounds of a block, in texts and bytes of text.
-BLOCK, BLOCK_BYTES = 128, 1 << 20
+BLOCK, BLOCK_BYTES = 256, 1 << 20
 #: Bounds of the sample that recall is measured on: texts, and characters of each.
 SAMPLE, SAMPLE_CHARS = 1024, 20_000
 #: How many sampled texts the expectation at the threshold weighs as much as, where few of the sample have links.
@@ -317,14 +317,13 @@ def _units(near: DataFrame, home: DataFrame) -> DataFrame:
     """(low, high, node, block): the units that each text is in. A text is in that of its own block, and in that of its
     own and another block where it shares a prefix with a text of the other."""
     placed = materialise(near.join(home, "node").select("bucket", "node", "block"))
-    spread = placed.groupBy("bucket").agg(F.min("block").alias("lo"), F.max("block").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
-    wide = materialise(join_groups(placed, materialise(spread), ["bucket"], "n").where("n is not null"))
-    # A prefix that many texts share is dealt out: its texts by hash, the blocks that they meet to each part.
-    parts = F.ceil(F.col("n") / 1024).cast("int")
-    texts = wide.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
-    others = wide.select("bucket", F.col("block").alias("other"), "n").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
-    across = texts.join(others, ["bucket", "part"]).where("block <> other").select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "block").distinct()
-    return across.unionByName(home.select(F.col("block").alias("low"), F.col("block").alias("high"), "node", "block"))
+    spread = placed.groupBy("bucket").agg(F.sort_array(F.collect_set("block")).alias("blocks"), F.count(F.lit(1)).alias("n")).where("size(blocks) > 1")
+    wide = join_groups(placed, materialise(spread), ["bucket"], "n").where("n is not null")
+    # A text meets the same blocks in many trees: these are united before they become rows.
+    met = wide.groupBy("node", "block").agg(F.array_distinct(F.flatten(F.collect_set("blocks"))).alias("blocks"))
+    across = met.select("node", "block", F.explode("blocks").alias("other")).where("block <> other")
+    units = across.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "block")
+    return units.unionByName(home.select(F.col("block").alias("low"), F.col("block").alias("high"), "node", "block"))
 
 
 def _judge(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
