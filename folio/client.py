@@ -230,15 +230,19 @@ class Collection:
     def _meta(self) -> dict:
         return {"id_col": self.id_col, "indexes": [i.as_meta() for i in self._indexes]}
 
-    def _put(self, df: DataFrame) -> None:
+    def _put(self, df: DataFrame, new: DataFrame | None = None) -> None:
+        """Make df what the collection holds; of inserts, new is what df has more, and alone is written if it can be."""
         frame = Frame(df, self.id_col, plain=self.plain)
         for index in self._indexes:
             if index.unique:
                 indexes.check_unique(frame, index)
-        if self._store:
-            self._store.write(df, self._meta(), [c for c in (self.id_col,) if c in df.columns])
-        else:
+        by = [c for c in (self.id_col,) if c in df.columns]
+        if not self._store:
             self._df = df
+        elif new is not None and (known := self._store.read()) is not None and _alike(known.schema, new.schema):
+            self._store.append(new, self._meta(), by)
+        else:
+            self._store.write(df, self._meta(), by)
 
     def insert_one(self, doc: dict) -> InsertResult:
         return self.insert_many([doc])
@@ -267,7 +271,8 @@ class Collection:
                 if ordered:
                     break
         if good:
-            self._put(self._joined(good))
+            known = self._store.read() if self._store else None
+            self._put(self._joined(good), documents.to_frame(self._spark, good, known.schema) if known is not None else None)
         if errors and len(docs) == 1:
             raise (DuplicateKey if errors[0]["code"] == DuplicateKey.code else EngineError)(errors[0]["errmsg"], errors[0]["code"])
         return InsertResult([d[self.id_col] for d in good], errors)
@@ -286,7 +291,7 @@ class Collection:
         if new.groupBy(key).count().where("count > 1").limit(1).count() or new.join(self.df().select(key), self.id_col, "left_semi").limit(1).count():
             raise DuplicateKey("duplicate key of _id")
         known = self.df()
-        self._put(new if known.columns == [self.id_col] and known.isEmpty() else known.unionByName(new, allowMissingColumns=True))
+        self._put(new if known.columns == [self.id_col] and known.isEmpty() else known.unionByName(new, allowMissingColumns=True), new)
 
     def _first(self, query: dict, sort: dict | None = None) -> dict | None:
         found = self.find(query).limit(1)
@@ -436,6 +441,11 @@ class Collection:
         self.df().write.mode("overwrite").parquet(path)
 
 
+def _alike(a: T.StructType, b: T.StructType) -> bool:
+    """Whether documents of one schema can lie beside those of the other: same names and types."""
+    return {f.name: f.dataType.simpleString() for f in a} == {f.name: f.dataType.simpleString() for f in b}
+
+
 def _as(df: DataFrame, f: T.StructField) -> Column:
     from .types import cast
 

@@ -159,7 +159,11 @@ def _explain(db: Database, c: dict) -> dict:
     inner = c["explain"]
     if not isinstance(inner, dict) or next(iter(inner), "") != "find":
         raise UnsupportedOperator("explain is of find")
-    found = _collection(db, inner).find(inner.get("filter", {})).explain()
+    asked = _collection(db, inner).find(inner.get("filter", {}))
+    for key, to in (("sort", asked.sort), ("hint", asked.hint), ("projection", asked.projection)):
+        if inner.get(key):
+            to(inner[key])
+    found = asked.skip(inner.get("skip", 0)).limit(inner.get("limit", 0)).explain()
     return {"queryPlanner": {"winningPlan": {"stage": found["plan"]}, "pushedFilters": found["pushed_filters"]}, "sparkPlan": found["spark_plan"]}
 
 

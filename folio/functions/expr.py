@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -290,9 +290,23 @@ def _pow(arg: object, env: Env) -> Typed:
     a, b = (_number(v, "$pow") for v in _args(arg, env, 2, 2, "$pow"))
     if a.null or b.null:
         return null()
-    made = F.pow(a.col.cast(DOUBLE), b.col.cast(DOUBLE))
-    whole = _result([a, b]) == LONG and isinstance(b.constant, int) and b.constant >= 0
-    return Typed(made.cast(LONG) if whole else made, LONG if whole else DOUBLE)
+    if _result([a, b]) == LONG and isinstance(b.constant, int) and b.constant >= 0:
+        return Typed(_whole_power(_wide(a), b.constant), LONG)
+    return Typed(F.pow(a.col.cast(DOUBLE), b.col.cast(DOUBLE)), DOUBLE)
+
+
+def _whole_power(base: Column, n: int) -> Column:
+    """Exact, by squaring; overflow raises. Beyond 63 only -1, 0 and 1 have powers of 64 bits."""
+    if n > 63:
+        small = F.when(base.isin(0, 1), base).when(base == -1, F.lit(1 - n % 2 * 2).cast(LONG))
+        return F.when(F.abs(base) > 1, _fail("$pow of more than 64 bits").cast(LONG)).otherwise(small)
+    made, square = None, base
+    while n:
+        if n & 1:
+            made = square if made is None else made * square
+        n >>= 1
+        square = square * square if n else square
+    return F.when(base.isNotNull(), F.lit(1).cast(LONG)) if made is None else made
 
 
 def _unary(name: str, on_float: Callable[[Column], Column], on_int: Callable[[Column], Column] = lambda c: c) -> None:
@@ -608,8 +622,8 @@ def _to_string(arg: object, env: Env) -> Typed:
     if family(v.kind) in ("array", "object"):
         raise BadValue(f"$toString of {alias(v.kind)}")
     if _is_date(v):
-        whole = F.pmod(_millis(v), F.lit(1000)) == 0
-        made = F.when(whole, F.date_format(v.col, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(v.col, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+        whole, at = F.pmod(_millis(v), F.lit(1000)) == 0, _utc(v)
+        made = F.when(whole, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
         return Typed(made, STRING)
     if isinstance(v.kind, FLOATS):
         return Typed(_plain_double(v.col.cast(DOUBLE)), STRING)
@@ -635,11 +649,20 @@ def _part(name: str, made: Callable[[Column], Column]) -> None:
             return null()
         if not _is_date(v):
             raise BadValue(f"{name} needs a date, not {alias(v.kind)}")
-        return Typed(made(v.col).cast(LONG), LONG)
+        return Typed(made(_utc(v)).cast(LONG), LONG)
 
     OPERATORS[name] = build
 
 
+def _utc(v: Typed) -> Column:
+    """A date as Spark's functions read it, in UTC whatever zone the session is in."""
+    session = SparkSession.getActiveSession()
+    if not isinstance(v.kind, T.TimestampType) or session is None or session.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "GMT", "Z"):
+        return v.col
+    seconds = F.unix_micros(v.col).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(20,0)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+
+
 for _name, _made in {
     "$year": F.year, "$month": F.month, "$dayOfMonth": F.dayofmonth, "$hour": F.hour, "$minute": F.minute, "$second": F.second,
     "$millisecond": lambda c: F.pmod(F.unix_millis(c.cast(DATE)), F.lit(1000)), "$dayOfWeek": F.dayofweek, "$dayOfYear": F.dayofyear,

@@ -73,11 +73,16 @@ def _end(made: Callable[[Column, Column], Column]):
 
 
 def _listed(v: Typed, frame: Frame) -> Column:
-    """The group's values in order, nulls too."""
-    rows = F.array_sort(F.collect_list(F.struct(frame.place().alias("at"), v.col.alias("x"))))
+    """The group's values in order, nulls too but where they are missing fields."""
+    rows = F.array_sort(F.collect_list(_there(v, F.struct(frame.place().alias("at"), v.col.alias("x")))))
     return F.transform(rows, lambda r: r["x"])
 
 
+def _there(v: Typed, made: Column) -> Column:
+    """made, or null where v is a missing field: what is collected skips it."""
+    return F.when(v.col.isNotNull(), made) if v.plain else made
+
+
 def _push(arg, env, frame):
     v = _value(arg, env)
     if v.missing:
@@ -86,11 +91,11 @@ def _push(arg, env, frame):
 
 
 def _add_to_set(arg, env, frame):
-    """The distinct values, nulls too; their order is the canonical one."""
+    """The distinct values, nulls too but where they are missing fields; their order is the canonical one."""
     v = _value(arg, env)
     if v.missing:
         return F.max(F.array().cast("array<string>")), T.ArrayType(T.StringType())
-    return F.transform(F.array_sort(F.collect_set(F.struct(v.col.alias("x")))), lambda r: r["x"]), T.ArrayType(v.kind)
+    return F.transform(F.array_sort(F.collect_set(_there(v, F.struct(v.col.alias("x"))))), lambda r: r["x"]), T.ArrayType(v.kind)
 
 
 def _count(arg, env, frame):

@@ -6,6 +6,7 @@ stay bare comparisons with literals, which Spark pushes down to the scan.
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 from functools import reduce
 
@@ -114,10 +115,35 @@ def _in(v: Typed, arg: object) -> Column:
         raise BadValue("$in needs an array")
     if not arg:
         return F.lit(False)
-    same = [x for x in arg if x is not None and not v.missing and not isinstance(x, bool) and (isinstance(x, str) and isinstance(v.kind, T.StringType) or isinstance(x, int) and isinstance(v.kind, (T.LongType, T.IntegerType)) and abs(x) < 2**31)]
-    rest = [x for x in arg if not any(x is y for y in same)]
-    parts = [v.col.isin(same)] if same else []
-    return reduce(Column.__or__, parts + [_eq(v, literal(x)) for x in rest])
+    kind = v.kind.elementType if not v.missing and isinstance(v.kind, T.ArrayType) else v.kind
+    same = [] if v.missing else [x for x in arg if _of_kind(x, kind)]
+    rest = [x for x in arg if not any(x is y for y in same)] if len(same) < len(arg) else []
+    parts = [_elements(v, lambda x: x.col.isin(*[_bare(y, kind) for y in same]), False)] if same else []
+    return _any(parts + [_eq(v, literal(x)) for x in rest])
+
+
+def _of_kind(x: object, kind: T.DataType) -> bool:
+    """Whether a value is one of a column's own type, so that it can be looked up in a list of such."""
+    if isinstance(x, bool) or x is None:
+        return False
+    if isinstance(kind, T.StringType):
+        return isinstance(x, str)
+    if isinstance(kind, (T.LongType, T.IntegerType)):
+        return isinstance(x, int) and abs(x) < (2**31 if isinstance(kind, T.IntegerType) else 2**63)
+    if isinstance(kind, T.DoubleType):
+        return isinstance(x, float) or isinstance(x, int) and abs(x) <= 2**53
+    return isinstance(kind, T.TimestampType) and isinstance(x, dt.datetime)
+
+
+def _bare(x: object, kind: T.DataType) -> object:
+    return float(x) if isinstance(kind, T.DoubleType) else literal(x).col if isinstance(x, dt.datetime) else x
+
+
+def _any(parts: list[Column]) -> Column:
+    """One of many, as a balanced tree: a long chain would overflow the planner's stack."""
+    while len(parts) > 1:
+        parts = [parts[i] | parts[i + 1] if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
 
 
 def _not(v: Typed, arg: object) -> Column:

@@ -19,6 +19,14 @@ from .filters import compile_filter
 from .frame import Fields, Frame
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, or one like it that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def run_pipeline(frame: Frame, pipeline: list[dict]) -> Frame:
     """The frame after all stages."""
     stages = rewrite(parse(pipeline))
@@ -113,16 +121,16 @@ def replace_root(frame: Frame, e: object) -> Frame:
 def _unwind(frame: Frame, stage: Stage) -> Frame:
     path, keep, index = stage.spec["path"], stage.spec["keep"], stage.spec["index"]
     v = frame.env().field(path)
-    df, at = frame.df, "__at"
+    df, at, held = frame.df, fresh("__at", frame.df.columns), fresh("__item", frame.df.columns)
     if v.missing:
         return frame if keep and not index else frame.with_df(df.withColumn(index, F.lit(None).cast("bigint")) if keep else df.where(F.lit(False)))
     if isinstance(v.kind, T.ArrayType):
         made = F.posexplode_outer(v.col) if keep else F.posexplode(v.col)
-        df = df.select("*", made.alias(at, "__item"))
-        value, place = Typed(F.col("__item"), v.kind.elementType, frame.plain), F.col(at).cast("bigint")
+        df = df.select("*", made.alias(at, held))
+        value, place = Typed(F.col(held), v.kind.elementType, frame.plain), F.col(at).cast("bigint")
     else:
-        df = (df if keep else df.where(v.col.isNotNull())).withColumns({"__item": v.col, at: F.lit(None).cast("bigint")})
-        value, place = Typed(F.col("__item"), v.kind, frame.plain), F.col(at)
+        df = (df if keep else df.where(v.col.isNotNull())).withColumns({held: v.col, at: F.lit(None).cast("bigint")})
+        value, place = Typed(F.col(held), v.kind, frame.plain), F.col(at)
     wide = frame.with_df(df)
     out = Fields(wide, frame.df.columns)
     out.set(path, value)
@@ -177,23 +185,24 @@ def _lookup(frame: Frame, stage: Stage) -> Frame:
     else:  # values of different types are never equal, nulls are
         kind = T.IntegerType()
         local, far = (Typed(F.when(v.col.isNotNull(), F.lit(side)), kind) for side, v in enumerate((local, far)))
-    build = other.select(cast(far, kind).alias("__key"), doc.alias("__doc"))
-    left = frame.df.select("*", cast(local, kind).alias("__key"))
+    key, held = (fresh(n, frame.df.columns) for n in ("__key", "__doc"))
+    build = other.select(cast(far, kind).alias(key), doc.alias(held))
+    left = frame.df.select("*", cast(local, kind).alias(key))
     # Where documents have no nulls, the plain equality lets Spark prune and spread the join.
-    on = _same(left, build, frame.plain)
+    same = lambda right: left[key] == right[key] if frame.plain else left[key].eqNullSafe(right[key])
     if how in ("semi", "anti"):
-        return frame.with_df(left.join(build, on, f"left_{how}").drop("__key"))
-    doc_kind = build.schema["__doc"].dataType
+        return frame.with_df(left.join(build, same(build), f"left_{how}").drop(key))
+    doc_kind = build.schema[held].dataType
     if how in ("inner", "left"):
-        joined = left.join(build, on, how)
-        value = Typed(joined["__doc"], doc_kind, frame.plain)
+        joined = left.join(build, same(build), how)
+        value = Typed(joined[held], doc_kind, frame.plain)
     else:
-        sets = build.groupBy("__key").agg(F.array_sort(F.collect_list("__doc")).alias("__doc"))
-        joined = left.join(sets, _same(left, sets, frame.plain), "left")
-        value = Typed(F.coalesce(joined["__doc"], F.array().cast(T.ArrayType(doc_kind))), T.ArrayType(doc_kind), frame.plain)
-    kept = joined.select(*[left[f"`{n}`"] for n in frame.df.columns], value.col.alias("__doc"))
+        sets = build.groupBy(key).agg(F.array_sort(F.collect_list(held)).alias(held))
+        joined = left.join(sets, same(sets), "left")
+        value = Typed(F.coalesce(joined[held], F.array().cast(T.ArrayType(doc_kind))), T.ArrayType(doc_kind), frame.plain)
+    kept = joined.select(*[left[f"`{n}`"] for n in frame.df.columns], value.col.alias(held))
     out = Fields(frame.with_df(kept), frame.df.columns)
-    out.set(spec["as"], Typed(F.col("__doc"), value.kind, frame.plain))
+    out.set(spec["as"], Typed(F.col(held), value.kind, frame.plain))
     return out.done()
 
 
@@ -201,10 +210,6 @@ def _comparable(a: Typed, b: Typed) -> bool:
     return any(v.missing or v.null for v in (a, b)) or family(a.kind) == family(b.kind)
 
 
-def _same(left: DataFrame, right: DataFrame, plain: bool) -> Column:
-    return left["__key"] == right["__key"] if plain else left["__key"].eqNullSafe(right["__key"])
-
-
 def _exploded(v: Typed, kind: T.DataType) -> Column:
     """The keys a value joins by: an array's elements, the value itself, and one for a null or missing value."""
     if v.missing or v.null:
@@ -226,17 +231,18 @@ def _lookup_arrays(frame: Frame, stage: Stage, other: DataFrame, local: Typed, f
     except BadValue:
         return _lookup(frame, Stage("$lookup", spec | {"foreignField": "\0none"}, stage.notes))
     kind = T.StringType() if isinstance(kind, T.NullType) else kind
-    right = other.select(F.explode(_exploded(far, kind)).alias("__key"), doc.alias("__doc"))
+    key, keys, item = (fresh(n, frame.df.columns) for n in ("__key", "__keys", "__doc"))
+    right = other.select(F.explode(_exploded(far, kind)).alias(key), doc.alias(item))
     # Each distinct set of local keys is joined once; its documents come back to the rows by that set.
-    sets = frame.df.select(_exploded(local, kind).alias("__keys")).distinct()
-    pairs = sets.select("__keys", F.explode("__keys").alias("__key")).join(right, "__key").select("__keys", "__doc").distinct()
-    found = pairs.groupBy("__keys").agg(F.array_sort(F.collect_list("__doc")).alias("__doc"))
-    left = frame.df.select("*", _exploded(local, kind).alias("__keys"))
+    sets = frame.df.select(_exploded(local, kind).alias(keys)).distinct()
+    pairs = sets.select(keys, F.explode(keys).alias(key)).join(right, key).select(keys, item).distinct()
+    found = pairs.groupBy(keys).agg(F.array_sort(F.collect_list(item)).alias(item))
+    left = frame.df.select("*", _exploded(local, kind).alias(keys))
     if how in ("semi", "anti"):
-        return frame.with_df(left.join(found, "__keys", f"left_{how}").drop("__keys"))
-    joined = left.join(found, "__keys", "left").drop("__keys")
-    held = found.schema["__doc"].dataType
-    value = Typed(F.coalesce(F.col("__doc"), F.array().cast(held)), held, frame.plain)
+        return frame.with_df(left.join(found, keys, f"left_{how}").drop(keys))
+    joined = left.join(found, keys, "left").drop(keys)
+    held = found.schema[item].dataType
+    value = Typed(F.coalesce(F.col(item), F.array().cast(held)), held, frame.plain)
     out = Fields(frame.with_df(joined), frame.df.columns)
     out.set(spec["as"], value)
     done = out.done()

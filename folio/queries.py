@@ -59,12 +59,22 @@ found("filter_logic", "customer", {"$or": [{"c_acctbal": {"$lt": 0}}, {"c_mktseg
 found("filter_not", "customer", {"c_acctbal": {"$not": {"$gt": 5000}}, "$and": [{"c_nationkey": {"$gte": 5}}, {"c_nationkey": {"$lte": 9}}]}, "SELECT c_custkey FROM customer WHERE NOT c_acctbal > 5000 AND c_nationkey BETWEEN 5 AND 9")
 found("filter_mod", "part", {"p_size": {"$mod": [7, 3]}, "p_retailprice": {"$mod": [4, 1]}}, "SELECT p_partkey FROM part WHERE p_size % 7 = 3 AND CAST(trunc(p_retailprice) AS BIGINT) % 4 = 1")
 found("filter_bits", "part", {"p_size": {"$bitsAllSet": 5, "$bitsAnyClear": [1, 3]}, "p_partkey": {"$bitsAnySet": 6, "$bitsAllClear": [3, 70]}}, "SELECT p_partkey FROM part WHERE (p_size & 5) = 5 AND (p_size & 10) <> 10 AND (p_partkey & 6) <> 0 AND (p_partkey & 8) = 0")
-found("filter_regex", "part", {"p_type": {"$regex": "^standard.*(brass|tin)$", "$options": "i"}}, "SELECT p_partkey FROM part WHERE regexp_matches(p_type, '^standard.*(brass|tin)$', 'i')")
-found("filter_exists_type", "events", {"value": {"$exists": True, "$type": ["double", "int"]}, "absent": {"$exists": False}, "event_type": {"$type": 2}}, "SELECT event_id FROM events")
-found("filter_type_rank", "customer", {"c_name": {"$gt": 10 ** 9}, "c_acctbal": {"$lt": "z"}, "gone": None}, "SELECT c_custkey FROM customer")
+found("filter_regex", "part", {"p_name": {"$regex": "^(small|RED).*(bolt|widget)$", "$options": "i"}}, "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '^(small|RED).*(bolt|widget)$', 'i')")
+query("filter_exists", "SELECT event_id FROM events WHERE user_id % 3 <> 0 AND event_type <> 'view'", lambda t: _with_nulls(t).find({"u": {"$exists": True}, "kind": {"$exists": 1}, "absent": {"$exists": False}}).to_df().select("event_id"))
+query("filter_not_exists", "SELECT event_id FROM events WHERE user_id % 3 = 0", lambda t: _with_nulls(t).find({"u": {"$exists": False}}).to_df().select("event_id"))
+query("filter_type", "SELECT event_id FROM events WHERE user_id % 3 <> 0 AND event_type <> 'view'", lambda t: _with_nulls(t).find({"u": {"$type": ["long", "string"]}, "kind": {"$type": 2}, "value": {"$not": {"$type": "int"}}}).to_df().select("event_id"))
+query("filter_type_null", "SELECT event_id FROM events WHERE user_id % 3 = 0 OR event_type = 'view'", lambda t: _with_nulls(t, False).find({"$or": [{"u": {"$type": "null"}}, {"kind": {"$type": ["null", "bool"]}}]}).to_df().select("event_id"))
+query("filter_type_rank", "SELECT event_id FROM events WHERE user_id % 3 = 0 AND event_type <> 'view'", lambda t: _with_nulls(t, False).find({"u": {"$lt": -(10**9)}, "kind": {"$gt": 10**9}, "value": {"$lt": "z"}, "gone": None}).to_df().select("event_id"))
+found("filter_in_many", "part", {"p_retailprice": {"$in": [900 + k / 10 for k in range(0, 20_000, 7)]}}, "SELECT p_partkey FROM part WHERE list_contains(list_transform(range(0, 20000, 7), lambda k: 900 + k / 10), p_retailprice)")
 found("filter_expr", "lineitem", {"$expr": {"$gt": [{"$multiply": ["$l_extendedprice", "$l_discount"]}, {"$add": ["$l_quantity", 3000]}]}}, "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_extendedprice * l_discount > l_quantity + 3000", ["l_orderkey", "l_linenumber"])
 found("filter_array", "embeddings", {"embedding": {"$size": 64, "$elemMatch": {"$gt": 0.25, "$lt": 0.3}}, "embedding.0": {"$gt": 0}}, "SELECT vec_id FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x > 0.25 AND x < 0.3)) > 0 AND embedding[1] > 0")
-query("filter_array_words", "SELECT p_partkey FROM part WHERE list_has_all(string_split(p_type, ' '), [split_part(p_type, ' ', 1), 'BRASS'])", lambda t: (lambda f: f.df.select("p_partkey"))(_then(t, "part", [{"$addFields": {"words": {"$split": ["$p_type", " "]}}}, {"$match": {"words": {"$all": ["BRASS"]}}}])))
+query("filter_array_words", "SELECT doc_id FROM documents WHERE list_has_all(string_split(text, ' '), ['the', 'of'])", lambda t: _then(t, "documents", [{"$addFields": {"words": {"$split": ["$text", " "]}}}, {"$match": {"words": {"$all": ["the", "of"]}}}]).df.select("doc_id"))
+
+
+def _with_nulls(t: Tables, plain: bool = True) -> Collection:
+    """Events whose user is null for every third of them, and whose type is where they are views."""
+    df = t["events"].df().select("event_id", "value", F.when(F.col("user_id") % 3 != 0, F.col("user_id")).alias("u"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("kind"))
+    return Collection(df, "event_id", plain=plain)
 
 
 def _then(t: Tables, table: str, stages: list[dict]) -> Frame:
@@ -178,10 +188,30 @@ pipeline(
     "SELECT event_id, 'double' AS t, 'missing' AS none, CAST(trunc(value) AS INTEGER) AS i, user_id AS l, CAST(event_id AS DOUBLE) AS dbl, user_id <> 0 AS b, epoch_ms(event_id * 1000) AS when, event_type AS nul, CAST(sign(user_id - 50) AS BIGINT) AS c, '$x' AS lit, user_id <> 0 AS logic FROM events",
 )
 
+pipeline("expr_pow_whole", "part", [{"$project": {"a": {"$pow": ["$p_size", 11]}, "b": {"$pow": [{"$add": [{"$mod": ["$p_partkey", 3]}, 1]}, 39]}, "z": {"$pow": ["$p_size", 0]}, "h": {"$pow": ["$p_size", 0.5]}}}], "SELECT p_partkey, CAST(CAST(p_size AS HUGEINT) * p_size * p_size * p_size * p_size * p_size * p_size * p_size * p_size * p_size * p_size AS BIGINT) AS a, CASE p_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 549755813888 ELSE 4052555153018976267 END AS b, 1::BIGINT AS z, pow(p_size, 0.5) AS h FROM part")
+query("expr_dates_in_another_zone", "SELECT event_id, hour(m) AS h, day(m) AS d, strftime(m, '%Y-%m-%dT%H:%M:%SZ') AS text FROM (SELECT event_id, make_timestamp(event_id * 40013 * 1000000) AS m FROM events)", lambda t: _in_zone(t, [{"$project": {"h": {"$hour": "$at"}, "d": {"$dayOfMonth": "$at"}, "text": {"$toString": "$at"}}}]))
+query("group_of_missing", "SELECT user_id AS _id, coalesce(array_agg(kind ORDER BY event_id) FILTER (kind IS NOT NULL), []) AS kinds, coalesce(list_sort(array_agg(DISTINCT kind) FILTER (kind IS NOT NULL)), []) AS some, coalesce((array_agg(kind ORDER BY event_id) FILTER (kind IS NOT NULL))[1:2], []) AS two FROM (SELECT event_id, user_id, nullif(event_type, 'view') AS kind FROM events) GROUP BY 1", lambda t: Collection(t["events"].df().select("event_id", "user_id", F.expr("nullif(event_type, 'view') AS kind")), "event_id", plain=True).aggregate([{"$group": {"_id": "$user_id", "kinds": {"$push": "$kind"}, "some": {"$addToSet": "$kind"}, "two": {"$firstN": {"input": "$kind", "n": 2}}}}]).df)
+pipeline("expr_ltrim_rand", "part", [{"$project": {"l": {"$ltrim": {"input": "$p_brand", "chars": "Brand#"}}, "r": {"$rand": {}}}}, {"$project": {"l": 1, "r": {"$and": [{"$gte": ["$r", 0]}, {"$lt": ["$r", 1]}]}}}], "SELECT p_partkey, ltrim(p_brand, 'Brand#') AS l, true AS r FROM part")
+
+
+def _in_zone(t: Tables, stages: list[dict]) -> DataFrame:
+    """The stages compiled and run in a session of another zone; its rows, so that the session's own zone is left alone."""
+    zone = t.spark.conf.get("spark.sql.session.timeZone")
+    t.spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        events = t["events"].df().select("event_id", F.timestamp_seconds(F.col("event_id") * 40013).alias("at"))
+        done = Collection(events, "event_id", plain=True).aggregate(stages).df
+        return t.spark.createDataFrame(done.toPandas(), done.schema)
+    finally:
+        t.spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 # -- unwind and lookup
 
 pipeline("unwind_words", "part", [{"$project": {"w": {"$split": ["$p_type", " "]}}}, {"$unwind": {"path": "$w", "includeArrayIndex": "i"}}, {"$group": {"_id": {"w": "$w", "i": "$i"}, "n": {"$sum": 1}}}, {"$project": {"_id": 0, "w": "$_id.w", "i": "$_id.i", "n": 1}}], "SELECT w, i, count(*) AS n FROM (SELECT unnest(string_split(p_type, ' ')) AS w, generate_subscripts(string_split(p_type, ' '), 1) - 1 AS i FROM part) GROUP BY 1, 2")
-pipeline("unwind_preserve", "part", [{"$project": {"w": {"$filter": {"input": {"$split": ["$p_type", " "]}, "cond": {"$eq": ["$$this", "BRASS"]}}}}}, {"$unwind": {"path": "$w", "preserveNullAndEmptyArrays": True}}], "SELECT p_partkey, CASE WHEN list_contains(string_split(p_type, ' '), 'BRASS') THEN 'BRASS' END AS w FROM part")
+WORDS_OF_NAMES = {"$split": ["$p_name", " "]}
+pipeline("unwind_several", "part", [{"$project": {"w": WORDS_OF_NAMES}}, {"$unwind": {"path": "$w", "includeArrayIndex": "i"}}], "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS i FROM part")
+pipeline("unwind_preserve", "part", [{"$project": {"w": {"$filter": {"input": WORDS_OF_NAMES, "cond": {"$in": ["$$this", ["small", "bolt"]]}}}}}, {"$unwind": {"path": "$w", "preserveNullAndEmptyArrays": True}}], "SELECT p_partkey, unnest(CASE WHEN len(f) = 0 THEN [NULL] ELSE f END) AS w FROM (SELECT p_partkey, list_filter(string_split(p_name, ' '), lambda x: x IN ('small', 'bolt')) AS f FROM part)")
 pipeline("lookup_array", "nation", [{"$lookup": {"from": "customer", "localField": "n_nationkey", "foreignField": "c_nationkey", "as": "c"}}, {"$project": {"n": {"$size": "$c"}, "names": {"$slice": ["$c.c_name", 0]} if False else {"$size": {"$filter": {"input": "$c", "cond": {"$gt": ["$$this.c_acctbal", 5000]}}}}}}], "SELECT n_nationkey, count(c_custkey) AS n, count(*) FILTER (c_acctbal > 5000) AS names FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
 pipeline(
     "lookup_unwind_join", "orders",
@@ -190,21 +220,27 @@ pipeline(
     "SELECT n_name AS _id, round(sum(o_totalprice), 2) AS total, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY 1",
 )
 pipeline("lookup_left_join", "documents", [{"$lookup": {"from": "labels", "localField": "doc_id", "foreignField": "doc_id", "as": "l"}}, {"$unwind": {"path": "$l", "preserveNullAndEmptyArrays": True}}, {"$project": {"q": {"$ifNull": ["$l.quality", -1]}, "source": 1}}], "SELECT d.doc_id, d.source, coalesce(CAST(l.quality AS BIGINT), -1) AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
-pipeline("lookup_anti", "customer", [{"$lookup": {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "as": "o"}}, {"$match": {"o": {"$size": 0}}}, {"$project": {"c_name": 1}}], "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+pipeline("lookup_anti", "customer", [{"$addFields": {"k": {"$add": ["$c_custkey", 1490]}}}, {"$lookup": {"from": "orders", "localField": "k", "foreignField": "o_custkey", "as": "o"}}, {"$match": {"o": {"$size": 0}}}, {"$project": {"c_name": 1}}], "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey + 1490)")
+query("lookup_clashing_names", "SELECT n_nationkey, n_name AS __key, n_regionkey AS __doc, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey", lambda t: _clashing(t).aggregate([{"$lookup": {"from": "region", "localField": "__doc", "foreignField": "r_regionkey", "as": "r"}}, {"$unwind": "$r"}, {"$addFields": {"r": "$r.r_name"}}]).df)
 pipeline("lookup_semi", "customer", [{"$lookup": {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "as": "o"}}, {"$match": {"o": {"$ne": []}}}, {"$project": {"c_name": 1}}], "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 pipeline("lookup_missing_collection", "region", [{"$lookup": {"from": "nowhere", "localField": "r_regionkey", "foreignField": "x", "as": "y"}}, {"$project": {"n": {"$size": "$y"}}}], "SELECT r_regionkey, 0::BIGINT AS n FROM region")
 pipeline("lookup_array_keys", "nation", [{"$addFields": {"keys": ["$n_regionkey", {"$add": ["$n_regionkey", 1]}]}}, {"$lookup": {"from": "region", "localField": "keys", "foreignField": "r_regionkey", "as": "r"}}, {"$project": {"names": {"$map": {"input": "$r", "in": "$$this.r_name"}}}}], "SELECT n_nationkey, list_sort(array_agg(r_name ORDER BY r_regionkey)) AS names FROM nation JOIN region ON r_regionkey IN (n_regionkey, n_regionkey + 1) GROUP BY 1")
 
+
+def _clashing(t: Tables) -> Collection:
+    return Collection(t["nation"].df().select("n_nationkey", F.col("n_name").alias("__key"), F.col("n_regionkey").alias("__doc")), "n_nationkey", plain=True, database=t)
+
+
 # -- updates, as the documents that they leave
 
 
-def updated(name: str, table: str, where: dict, change: dict | list, sql: str, columns: list[str] | None = None, filters: list[dict] | None = None, first: list[dict] | None = None) -> None:
+def updated(name: str, table: str, where: dict, change: dict | list, sql: str, columns: list[str] | None = None, filters: list[dict] | None = None, first: list[dict] | None = None, shown: Callable[[DataFrame], DataFrame] | None = None) -> None:
     def make(t: Tables) -> DataFrame:
         from .operators.filters import compile_filter
 
         frame = _then(t, table, first) if first else t[table].frame()
         done, _ = update_rows(frame, compile_filter(where, frame.env()), change, where, filters)
-        return done.df.select(*(columns or [c for c in done.df.columns if c != "__changed"]))
+        return shown(done.df) if shown else done.df.select(*(columns or [c for c in done.df.columns if c != "__changed"]))
 
     query(name, sql, make)
 
@@ -213,9 +249,18 @@ updated("update_set_inc_mul", "customer", {"c_mktsegment": "BUILDING"}, {"$set":
 updated("update_min_max_bit", "part", {"p_size": {"$gt": 10}}, {"$min": {"p_retailprice": 1000.0}, "$max": {"p_size": 30}, "$rename": {"p_brand": "brand"}}, "SELECT p_partkey, CASE WHEN b THEN least(p_retailprice, 1000.0) ELSE p_retailprice END AS p_retailprice, CASE WHEN b THEN greatest(p_size, 30) ELSE p_size END::BIGINT AS p_size, CASE WHEN NOT b THEN p_brand END AS p_brand, CASE WHEN b THEN p_brand END AS brand FROM (SELECT *, p_size > 10 AS b FROM part)", ["p_partkey", "p_retailprice", "p_size", "p_brand", "brand"])
 WORDS = [{"$project": {"w": {"$split": ["$p_type", " "]}, "p_size": 1}}]
 updated("update_push_sort_slice", "part", {"p_size": {"$lt": 25}}, {"$push": {"w": {"$each": ["NEW", "AAA"], "$sort": 1, "$slice": 3}}}, "SELECT p_partkey, p_size, CASE WHEN p_size < 25 THEN list_sort(list_concat(string_split(p_type, ' '), ['NEW', 'AAA']))[1:3] ELSE string_split(p_type, ' ') END AS w FROM part", first=WORDS)
-updated("update_pull_add_pop", "part", {"w": "BRASS"}, {"$pull": {"w": "BRASS"}, "$addToSet": {"w": {"$each": ["X", "STANDARD"]}}}, "SELECT p_partkey, CASE WHEN list_contains(w, 'BRASS') THEN list_concat(list_concat(list_filter(w, lambda x: x <> 'BRASS'), ['X']), CASE WHEN list_contains(w, 'STANDARD') THEN [] ELSE ['STANDARD'] END) ELSE w END AS w FROM (SELECT p_partkey, string_split(p_type, ' ') AS w FROM part)", ["p_partkey", "w"], first=WORDS)
+NAMES = [{"$project": {"w": {"$split": ["$p_name", " "]}, "p_size": 1}}]
+SPLIT = "SELECT p_partkey, p_size, string_split(p_name, ' ') AS w FROM part"
+updated("update_pull_add", "part", {"w": "small"}, {"$pull": {"w": "small"}}, f"SELECT p_partkey, list_filter(w, lambda x: x <> 'small') AS w FROM ({SPLIT})", ["p_partkey", "w"], first=NAMES)
+updated("update_add_to_set", "part", {"p_size": {"$gt": 20}}, {"$addToSet": {"w": {"$each": ["bolt", "zinc", "zinc"]}}}, f"SELECT p_partkey, CASE WHEN p_size > 20 THEN list_concat(list_concat(w, CASE WHEN list_contains(w, 'bolt') THEN [] ELSE ['bolt'] END), ['zinc']) ELSE w END AS w FROM ({SPLIT})", ["p_partkey", "w"], first=NAMES)
+updated("update_pull_all", "part", {}, {"$pullAll": {"w": ["small", "bolt", "none"]}}, f"SELECT p_partkey, list_filter(w, lambda x: x NOT IN ('small', 'bolt')) AS w FROM ({SPLIT})", ["p_partkey", "w"], first=NAMES)
+updated("update_pop_last", "part", {"p_size": {"$lt": 30}}, {"$pop": {"w": 1}}, f"SELECT p_partkey, CASE WHEN p_size < 30 THEN w[:len(w) - 1] ELSE w END AS w FROM ({SPLIT})", ["p_partkey", "w"], first=NAMES)
+updated("update_pop_first", "part", {"p_size": {"$lt": 30}}, {"$pop": {"w": -1}}, f"SELECT p_partkey, CASE WHEN p_size < 30 THEN w[2:] ELSE w END AS w FROM ({SPLIT})", ["p_partkey", "w"], first=NAMES)
+updated("update_all_elements", "part", {"p_size": {"$gt": 25}}, {"$set": {"w.$[]": "same"}}, f"SELECT p_partkey, CASE WHEN p_size > 25 THEN list_transform(w, lambda x: 'same') ELSE w END AS w FROM ({SPLIT})", ["p_partkey", "w"], first=NAMES)
+updated("update_unset", "part", {"p_size": {"$gt": 10}}, {"$unset": {"p_brand": ""}}, "SELECT p_partkey, CASE WHEN p_size <= 10 THEN p_brand END AS p_brand FROM part", ["p_partkey", "p_brand"])
+updated("update_current_date", "region", {}, {"$currentDate": {"at": True, "stamp": {"$type": "date"}}}, "SELECT r_regionkey, true AS fresh FROM region", shown=lambda df: df.select("r_regionkey", ((F.col("at") == F.col("stamp")) & (F.abs(F.unix_seconds("at") - F.unix_timestamp()) < 3600)).alias("fresh")))
 updated("update_positional", "part", {"w": {"$regex": "^S"}}, {"$set": {"w.$": "HIT"}}, "SELECT p_partkey, CASE WHEN len(list_filter(w, lambda x: starts_with(x, 'S'))) > 0 THEN list_transform(w, lambda x, i: CASE WHEN i = list_position(list_transform(w, lambda y: starts_with(y, 'S')), true) THEN 'HIT' ELSE x END) ELSE w END AS w FROM (SELECT p_partkey, string_split(p_type, ' ') AS w FROM part)", ["p_partkey", "w"], first=WORDS)
-updated("update_array_filters", "part", {}, {"$set": {"w.$[e]": "METAL"}}, "SELECT p_partkey, list_transform(string_split(p_type, ' '), lambda x: CASE WHEN x IN ('BRASS', 'TIN') THEN 'METAL' ELSE x END) AS w FROM part", ["p_partkey", "w"], [{"e": {"$in": ["BRASS", "TIN"]}}], WORDS)
+updated("update_array_filters", "part", {}, {"$set": {"w.$[e]": "METAL"}}, f"SELECT p_partkey, list_transform(w, lambda x: CASE WHEN x IN ('bolt', 'gear') THEN 'METAL' ELSE x END) AS w FROM ({SPLIT})", ["p_partkey", "w"], [{"e": {"$in": ["bolt", "gear"]}}], NAMES)
 updated("update_bit", "part", {"p_size": {"$gt": 10}}, {"$bit": {"p_size": {"xor": 6}}}, "SELECT p_partkey, CASE WHEN p_size > 10 THEN xor(p_size, 6) ELSE p_size END AS p_size FROM part", ["p_partkey", "p_size"])
 updated("update_pipeline", "orders", {"o_orderstatus": "F"}, [{"$set": {"o_totalprice": {"$round": [{"$multiply": ["$o_totalprice", 0.9]}, 2]}, "o_orderkey": 0}}], "SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN round_even(o_totalprice * 0.9 * 100, 0) / 100 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM orders")
 query("update_all", "SELECT r_regionkey, r_name, 'x' AS tag FROM region", lambda t: apply_update(t["region"].frame(), {"$set": {"tag": "x"}, "$setOnInsert": {"no": 1}}).df)
@@ -235,10 +280,9 @@ query(
     "ttl_sweep", "SELECT event_id FROM events WHERE NOT ts < (SELECT min(ts) FROM events) + INTERVAL 10 DAY - INTERVAL 1 HOUR",
     lambda t: indexes.sweep(t["events"].frame(), [indexes.make({"ts": 1}, "event_id", expire_after=3600)], t["events"].df().agg(F.min("ts")).first()[0] + dt.timedelta(days=10)).select("event_id"),
 )
-query(
-    "unique_index_keys", "SELECT 1::BIGINT AS ok", lambda t: (indexes.check_unique(t["customer"].frame(), indexes.make({"c_name": 1}, "c_custkey", unique=True)), t.spark.sql("SELECT 1L AS ok"))[1],
-)
-
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["group_revenue_by_flag"](spark, sf_dir)
+
+
+from . import write_queries  # noqa: E402, F401  registers the queries of writes, cursors, indexes and commands

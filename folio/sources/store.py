@@ -1,7 +1,8 @@
 """Collections as immutable Parquet versions.
 
-A collection's folder holds data/<n> for each version and meta/<n>.json that makes it current. A write makes the next
-version's data, then creates its meta file, which fails if another writer has: the loser's version is never seen.
+A collection's folder holds data/<n> for what each version added and meta/<n>.json, which names the parts of its data
+and makes it current. A write makes the next version's part, then creates its meta file, which fails if another writer
+has: the loser's version is never seen. An insert adds a part; updates and deletes replace all parts by one.
 """
 
 from __future__ import annotations
@@ -45,14 +46,27 @@ class Store:
     def read(self, version: int | None = None) -> DataFrame | None:
         n = version or self.version()
         data = self.meta(n).get("data") if n else None
-        return self.spark.read.parquet(f"{self.path}/data/{data}") if data else None
+        return self.spark.read.parquet(*[f"{self.path}/data/{part}" for part in data]) if data else None
 
-    def write(self, df: DataFrame, meta: dict, by: list[str] | None = None) -> DataFrame:
+    #: An insert that would make more parts than this joins them.
+    PARTS = 64
+
+    def write(self, df: DataFrame, meta: dict, by: list[str] | None = None) -> None:
         """Write the next version, sorted within files by the columns that reads look up, so that scans can skip."""
+        self._write(df, meta, by, [])
+
+    def append(self, new: DataFrame, meta: dict, by: list[str] | None = None) -> None:
+        """The next version: what there is, and new documents of the same schema, which alone are written."""
+        known = self.meta().get("data") or []
+        if len(known) >= self.PARTS:
+            self._write(self.read().unionByName(new), meta, by, [])
+        else:
+            self._write(new, meta, by, known)
+
+    def _write(self, df: DataFrame, meta: dict, by: list[str] | None, known: list[int]) -> None:
         n = self.version() + 1
         (df.sortWithinPartitions(*by) if by else df).write.mode("overwrite").parquet(f"{self.path}/data/{n}")
-        self._commit(n, meta | {"data": n})
-        return self.spark.read.parquet(f"{self.path}/data/{n}")
+        self._commit(n, meta | {"data": [*known, n]})
 
     def annotate(self, meta: dict) -> None:
         """A version of the same data with other metadata."""
@@ -70,7 +84,7 @@ class Store:
     def vacuum(self, keep: int = 1) -> None:
         """Delete all but the last `keep` versions."""
         last, fs = self.version(), self._fs()
-        held = {self.meta(n).get("data") for n in range(max(1, last - keep + 1), last + 1)}
+        held = {part for n in range(max(1, last - keep + 1), last + 1) for part in self.meta(n).get("data") or []}
         for kind, stays in (("data", lambda name: int(name) in held), ("meta", lambda name: int(name[:-5]) > last - keep)):
             where = self._at(kind)
             for f in fs.listStatus(where) if fs.exists(where) else []:

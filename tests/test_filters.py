@@ -112,3 +112,14 @@ def test_ranges_reach_the_scan(spark):
     pushed = c.explain({"o_totalprice": {"$lt": 5000.0}, "o_orderstatus": {"$in": ["O", "F"]}, "o_custkey": 3})["pushed_filters"]
     assert {"LessThan(o_totalprice,5000.0)", "EqualTo(o_custkey,3)"} <= set(pushed)
     assert any(p.startswith("In(o_orderstatus") for p in pushed)
+
+
+def test_long_lists(collection):
+    import datetime as dt
+
+    days = [dt.datetime(2020, 1, 1) + dt.timedelta(days=k) for k in range(4000)]
+    docs = [{"d": k / 2, "n": k, "t": days[k], "a": [k, k + 1], "s": str(k)} for k in range(20)]
+    c = collection(docs)
+    many = [k / 2 for k in range(10, 4000)]
+    for query, want in (({"d": {"$in": many}}, 10), ({"d": {"$nin": many}}, 10), ({"t": {"$in": days[5:]}}, 15), ({"a": {"$in": list(range(10, 4000))}}, 11), ({"n": {"$in": [*many[:150], *map(str, range(150))]}}, 15), ({"s": {"$in": list(map(str, range(15, 3000)))}}, 5)):
+        assert c.count_documents(query) == want, query

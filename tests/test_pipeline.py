@@ -174,3 +174,18 @@ def test_queries_agree_with_sql(spark, tables, name):
     want = tables.execute("SELECT " + ", ".join(f'"{c}"' for c in columns) + f" FROM ({queries.ORACLES[name]})").fetchall()
     got = [tuple(r[c] for c in columns) for r in df.collect()]
     assert sorted(map(str, map(comparable, got))) == sorted(map(str, map(comparable, want)))
+
+
+def test_whole_powers_are_exact(collection):
+    docs = [{"b": b} for b in (3, -3, 0, 1, -1, 2)]
+    got = collection(docs).aggregate([{"$project": {"p": {"$pow": ["$b", 39]}, "q": {"$pow": [{"$mod": ["$b", 2]}, 101]}, "z": {"$pow": ["$b", 0]}}}]).to_list()
+    assert [(r["p"], r["q"], r["z"]) for r in got] == [(d["b"] ** 39, (abs(d["b"]) % 2) * (1 if d["b"] > 0 else -1), 1) for d in docs]
+
+
+def test_missing_values_are_not_collected(collection):
+    docs = [{"g": 1, "v": None}, {"g": 1, "v": 3}, {"g": 1, "v": None}, {"g": 1, "v": 2}, {"g": 2, "v": None}]
+    spec = {"_id": "$g", "p": {"$push": "$v"}, "s": {"$addToSet": "$v"}, "f": {"$firstN": {"input": "$v", "n": 1}}, "l": {"$lastN": {"input": "$v", "n": 5}}}
+    got = {r["_id"]: (r["p"], r["s"], r["f"], r["l"]) for r in collection(docs, plain=True).aggregate([{"$group": spec}]).to_list()}
+    assert got == {1: ([3, 2], [2, 3], [3], [3, 2]), 2: ([], [], [], [])}
+    kept = {r["_id"]: r["p"] for r in collection(docs).aggregate([{"$group": {"_id": "$g", "p": {"$push": "$v"}}}]).to_list()}
+    assert kept == {1: [None, 3, None, 2], 2: [None]}

@@ -166,3 +166,17 @@ def test_commands(spark, tmp_path):
     assert "FileScan" in run({"explain": {"find": "t", "filter": {"v": 0}}})["sparkPlan"].replace("Scan parquet", "FileScan")
     assert [c["name"] for c in run({"listCollections": 1})["cursor"]["firstBatch"]] == ["t"] and run({"create": "t"})["code"] == 48
     assert run({"listDatabases": 1})["databases"] == [{"name": "d"}] and run({"drop": "t"})["ok"] == 1 and run({"drop": "t"})["code"] == 26
+
+
+def test_inserts_write_only_what_is_new(spark, tmp_path):
+    c = Client(spark, str(tmp_path))["d"]["t"]
+    for k in range(3):
+        c.insert_many([{"_id": 10 * k + j, "v": j} for j in range(4)])
+    store = c._store
+    assert store.meta()["data"] == [1, 2, 3] and c.count_documents() == 12
+    assert spark.read.parquet(f"{tmp_path}/d/t/data/3").count() == 4
+    c.insert_one({"_id": 99, "other": "x"})  # a new field: all parts become one
+    assert len(store.meta()["data"]) == 1 and c.find_one({"_id": 99})["other"] == "x"
+    c.insert_one({"_id": 100, "v": 1})
+    store.vacuum()
+    assert c.count_documents() == 14 and c.delete_many({"v": 3}).deleted_count == 3 and c.count_documents() == 11
