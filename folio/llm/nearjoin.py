@@ -6,7 +6,7 @@ whole runs and shortens the prefix value by value until the recall reaches the t
 this corpus, over the links that a bounded sample of its texts truly has with all others, found by exact comparison.
 
 Candidates are never listed as pairs. Texts with neighbours are ordered by the least text that they share a prefix with,
-and cut into blocks of at most BLOCK texts or BLOCK_BYTES. A unit of work is a block, or two blocks between which some
+and cut into blocks of at most BLOCK texts that start within BLOCK_BYTES, however many partitions there are. A unit of work is a block, or two blocks between which some
 text shares a prefix, with just the texts that do. A task takes one unit at a time, compares exactly the pairs that share
 a prefix in any tree, and returns one row a text: its verified links there, and the smallest text it is linked to. A pair
 lies in one unit, so it counts once; a group of any size is whole, being more units. Connected components are sought
@@ -23,7 +23,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, join_groups, materialise, partitions, row_hash, slices, text_of
@@ -220,19 +220,33 @@ def _matched(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Recor
         yield held
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut the ordered texts into blocks."""
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts and characters of a partition lie before each of its ordered texts."""
     from pyspark import TaskContext
 
-    block, texts, size = TaskContext.get().partitionId() << 32, 0, 0
+    part, texts, size = TaskContext.get().partitionId(), 0, 0
     for batch in batches:
-        made = []
-        for chars in batch.column("chars").to_pylist():
-            if texts and (texts == BLOCK or size + chars > BLOCK_BYTES):
-                block, texts, size = block + 1, 0, 0
-            texts, size = texts + 1, size + chars
-            made.append(block)
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.int64())], ["node", "block"])
+        n, chars = batch.num_rows, batch.column("chars").to_numpy()
+        start = size + np.cumsum(chars) - chars
+        cols = [batch.column("node"), batch.column("chars"), pa.array([part] * n, pa.int32()), pa.array(texts + np.arange(n)), pa.array(start)]
+        yield pa.RecordBatch.from_arrays(cols, ["node", "chars", "part", "nth", "start"])
+        texts, size = texts + n, size + int(chars.sum())
+
+
+def _blocks(labelled: DataFrame, parts: int) -> DataFrame:
+    """(node, block): the texts by label, cut into blocks of at most BLOCK texts that start within BLOCK_BYTES.
+
+    Blocks go on from one partition to the next, as short ones would raise the number of blocks that a group's texts
+    meet. What lies before a partition comes from one row a partition.
+    """
+    order = ["label", "node"]
+    dealt = labelled.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = materialise(dealt.mapInArrow(_placed, "node long, chars long, part int, nth long, start long"))
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("size"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    led = sizes.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"led_{c}") for c in ("n", "size")])
+    block = F.floor((F.col("led_n") + F.col("nth")) / BLOCK) + F.floor((F.col("led_size") + F.col("start")) / BLOCK_BYTES)
+    return materialise(placed.join(F.broadcast(led), "part").select("node", block.alias("block")))
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -348,7 +362,7 @@ def _judge(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     near = materialise(join_groups(kept, buckets, ["bucket"], "n").where("n is not null").select("bucket", "node", "chars", "least"))
 
     labelled = near.groupBy("node").agg(F.min("least").alias("label"), F.first("chars").alias("chars"))
-    home = materialise(labelled.repartitionByRange(parts, "label", "node").sortWithinPartitions("label", "node").mapInArrow(_blocks, "node long, block long"))
+    home = _blocks(labelled, parts)
     members = materialise(home.join(texts, "node").select("node", "doc", "mark", "runs"))
     if not rows.groupBy("doc", "mark").count().where("count > 1").isEmpty():
         named = named.dropDuplicates(["doc", "mark"])  # repeated rows are folded before they meet in one task

@@ -73,6 +73,23 @@ def test_groups_of_several_blocks(make, monkeypatch):
     assert missed or have == want
 
 
+def test_blocks_go_on_over_partitions(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 7)
+    monkeypatch.setattr(N, "BLOCK_BYTES", 100)
+    r = random.Random(8)
+    rows = [(n, n // 9, r.choice([0, 3, 9, 250])) for n in range(200)]
+    blocks = {}
+    for parts in (1, 5, 40):
+        have = {x["node"]: x["block"] for x in N._blocks(spark.createDataFrame(rows, "node long, label long, chars long"), parts).collect()}
+        assert blocks.setdefault("first", have) == have and len(have) == 200
+    start, numbers = 0, []
+    for n, _, chars in rows:
+        numbers.append(n // 7 + start // 100)
+        start += chars
+    assert [blocks["first"][n] for n in range(200)] == numbers
+    assert N._blocks(spark.createDataFrame([], "node long, label long, chars long"), 3).count() == 0
+
+
 def test_keep_one(make):
     rows = [(5, prose(1, 50)), (3, prose(1, 50).upper()), (9, prose(2, 50)), (9, prose(2, 50)), (1, None), (2, "")]
     df = make(rows)
