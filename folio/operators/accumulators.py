@@ -6,6 +6,7 @@ Order-sensitive ones follow the frame's order explicitly, so a result never depe
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -138,6 +139,32 @@ def _n_of(take: Callable[[Column, int], Column], by_value: bool):
     return build
 
 
+@dataclass(frozen=True)
+class Bounded:
+    """An accumulator of n values as a ranking: the first n by `at`, or the last n, of the documents that `there` picks."""
+
+    value: Typed
+    n: int
+    at: Column
+    there: Column | None
+    falling: bool
+    turned: bool  # listed from the largest down
+
+
+def bounded(spec: object, frame: Frame) -> Bounded | None:
+    """The ranking of an accumulator of n values, None for all others and where the value has no type to list."""
+    op = next(iter(spec)) if isinstance(spec, dict) and len(spec) == 1 else None
+    if op not in ("$firstN", "$lastN", "$minN", "$maxN"):
+        return None
+    v, n = _several(spec[op], frame.env())
+    if v.missing or v.null:
+        return None
+    if op in ("$minN", "$maxN"):
+        return Bounded(v, n, ordered(v), v.col.isNotNull(), op == "$maxN", op == "$maxN")
+    place = F.struct(frame.place().alias("at"), v.col.alias("x"))
+    return Bounded(v, n, place, v.col.isNotNull() if v.plain else None, op == "$lastN", False)
+
+
 ACCUMULATORS = {
     "$sum": _sum,
     "$avg": _numeric(F.avg),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,7 @@ from ..paths import Env, quoted
 from ..plans.pipeline import Stage, parse, rewrite
 from ..types import Typed, cast, family, unify
 from . import projection
-from .accumulators import compile_accumulator
+from .accumulators import Bounded, bounded, compile_accumulator
 from .filters import compile_filter
 from .frame import Fields, Frame
 
@@ -142,16 +142,42 @@ def _unwind(frame: Frame, stage: Stage) -> Frame:
 def _group(frame: Frame, stage: Stage) -> Frame:
     spec = dict(stage.spec)
     key = compile_expr(spec.pop("_id"), frame.env())
-    made = {name: compile_accumulator(name, one, frame) for name, one in spec.items()}
+    # A stream has no ranks over all its rows, so there a group's values are collected.
+    ranked = {} if frame.df.isStreaming else {name: b for name, one in spec.items() if (b := bounded(one, frame))}
+    made = {name: compile_accumulator(name, one, frame) for name, one in spec.items() if name not in ranked}
     aggs = [c.alias(name) for name, (c, _) in made.items()]
-    if key.missing or key.null or key.constant is not None:
+    single = key.missing or key.null or key.constant is not None
+    if single:
         # One group, or none where there are no documents.
         one = frame.df.agg(*aggs, F.count(F.lit(1)).alias("__n")).where("__n > 0")
         value = F.lit(None).cast("string") if key.missing or key.null else key.col
         df = one.select(value.alias("_id"), *[quoted(n) for n in made])
     else:
         df = frame.df.groupBy(key.col.alias("_id")).agg(*aggs) if aggs else frame.df.select(key.col.alias("_id")).distinct()
-    return frame.with_df(df, id_col="_id", order=())
+    for name, one in ranked.items():
+        df = _with_ranked(df, frame, None if single else key.col, name, one)
+    return frame.with_df(df.select("_id", *[quoted(n) for n in spec]), id_col="_id", order=())
+
+
+def _with_ranked(groups: DataFrame, frame: Frame, key: Column | None, name: str, one: Bounded) -> DataFrame:
+    """The groups with the field of an accumulator of n values. Each partition passes on no more than n rows a group, so
+    no group is ever held in one row or task."""
+    rows = (frame.df if one.there is None else frame.df.where(one.there)).select(*([] if key is None else [key.alias("g")]), one.at.alias("at"), one.value.col.alias("x"))
+    by = F.col("at").desc() if one.falling else F.col("at").asc()
+    if key is None:
+        top = rows.orderBy(by).limit(one.n)
+    else:
+        top = rows.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(by))).where(F.col("r") <= one.n)
+    values = F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda r: r["x"])
+    at = fresh("values", groups.columns)
+    values = (F.reverse(values) if one.turned else values).alias(at)
+    held = T.ArrayType(one.value.kind)
+    if key is None:  # one row meets one row
+        met = groups.join(F.broadcast(top.agg(values)), how="cross")
+    else:
+        listed = top.groupBy("g").agg(values)
+        met = groups.join(listed, groups["_id"].eqNullSafe(listed["g"]), "left")
+    return met.select(*[groups[f"`{c}`"] for c in groups.columns], F.coalesce(F.col(at), F.array().cast(held)).alias(name))
 
 
 def _sort_by_count(frame: Frame, stage: Stage) -> Frame:

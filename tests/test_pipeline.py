@@ -189,3 +189,26 @@ def test_missing_values_are_not_collected(collection):
     assert got == {1: ([3, 2], [2, 3], [3], [3, 2]), 2: ([], [], [], [])}
     kept = {r["_id"]: r["p"] for r in collection(docs).aggregate([{"$group": {"_id": "$g", "p": {"$push": "$v"}}}]).to_list()}
     assert kept == {1: [None, 3, None, 2], 2: [None]}
+
+
+def test_values_of_a_group_are_bounded(spark, collection):
+    nan = float("nan")
+    docs = [{"g": (None, "a", "b")[i % 3], "v": (None, 1.5, -2.0, nan, 7.0, 1.5)[i * 7 % 6], "t": i * 5 % 4, "i": i} for i in range(40)]
+    spec = {"f": {"$firstN": {"input": "$v", "n": 4}}, "l": {"$lastN": {"input": "$v", "n": 3}}, "lo": {"$minN": {"input": "$v", "n": 9}}, "n": {"$count": {}}, "hi": {"$maxN": {"input": "$v", "n": 2}}, "values": {"$maxN": {"input": "$i", "n": 50}}, "none": {"$minN": {"input": "$zz", "n": 1}}}
+
+    def expected(rows):
+        at = [d["v"] for d in sorted(rows, key=lambda d: (-d["t"], d["i"]))]
+        held = sorted((v for v in at if v is not None), key=lambda v: (v == v, v if v == v else 0))
+        return {"f": at[:4], "l": at[-3:], "lo": held[:9], "n": len(rows), "hi": held[::-1][:2], "values": sorted((d["i"] for d in rows), reverse=True)[:50], "none": []}
+
+    c = collection(docs)
+    got = c.aggregate([{"$sort": {"t": -1}}, {"$group": {"_id": "$g"} | spec}]).to_list()
+    assert {d["_id"] for d in got} == {None, "a", "b"} and list(got[0]) == ["_id", *spec]
+    for d in got:
+        assert repr({k: v for k, v in d.items() if k != "_id"}) == repr(expected([x for x in docs if x["g"] == d["_id"]]))
+    whole = c.aggregate([{"$sort": {"t": -1}}, {"$group": {"_id": None} | spec}]).to_list()
+    assert repr(whole) == repr([{"_id": None} | expected(docs)])
+    assert c.aggregate([{"$match": {"i": -1}}, {"$group": {"_id": None} | spec}]).to_list() == []
+    assert c.aggregate([{"$match": {"i": -1}}, {"$group": {"_id": "$g"} | spec}]).to_list() == []
+    plan = c.aggregate([{"$group": {"_id": "$g", "f": {"$firstN": {"input": "$v", "n": 4}}}}]).df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2
