@@ -86,6 +86,17 @@ def curve_keys(texts: list[str], onto: np.ndarray) -> np.ndarray:
     return hilbert(cells, BITS)
 
 
+#: What keeps a text from being looked up word by word: neighbouring spaces and newlines, the special token, and white
+#: space but these two (of the characters below U+0250); letters from there on.
+ODD = ("  ", "\n\n", " \n", "\n ", "<|endoftext|>", "\t", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
+FAR = re.compile("[\u0250-\U0010ffff]")
+
+
+def odd(text: str) -> bool:
+    """Whether a text that isn't empty must be encoded as a whole."""
+    return text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ODD) or not text.isascii() and FAR.search(text) is not None
+
+
 class Tokens:
     """Token ids of texts as little-endian unsigned 32-bit bytes, by the byte-level BPE of the given files.
 
@@ -116,7 +127,6 @@ class Tokens:
 
         self.first, self.later = Words(""), Words(" ")
         self.newline = self.encode("\n")
-        self.odd = re.compile(r"[^\S \n]|  |\n\n| \n|\n |^[ \n]|[ \n]$|<\|endoftext\|>|[ɐ-\U0010ffff]")
 
     def encode(self, text: str) -> bytes:
         if self.fast and (text.isascii() or max(text) < "ɐ") and "<|endoftext|>" not in text:
@@ -130,7 +140,7 @@ class Tokens:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.odd.search(text):
+        if odd(text):
             return self.encode(text)
         if len(self.first) + len(self.later) > self.MOST:
             self.first.clear()
