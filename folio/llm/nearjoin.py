@@ -2,8 +2,9 @@
 
 A text's set of five-word shingles gets one MinHash signature, cut into TREES runs of DEPTH values. The runs of a tree,
 sorted, are its prefix trie: texts that share the first k values of a run are neighbours there. Matching starts from
-whole runs and shortens the prefix value by value until the recall reaches the target (fit_depth): recall is measured on
-this corpus, over the links that a bounded sample of its texts truly has with all others, found by exact comparison.
+whole runs and shortens the prefix value by value until the recall reaches the target (_judge): recall is measured over
+all texts, without a sample, from the exact similarity of every link that has been found, which says how likely it is to
+be found at each depth. A link that is found with chance p stands for 1/p links, so those not found are counted too.
 
 Candidates are never listed as pairs. Texts with neighbours are ordered by the least text that they share a prefix with,
 and cut into blocks of at most BLOCK texts that start within BLOCK_BYTES, however many partitions there are. A unit of work is a block, or two blocks between which some
@@ -33,17 +34,17 @@ GRAM, THRESHOLD = 5, Fraction(4, 5)
 TREES, DEPTH, TARGET = 16, 6, 0.998
 #: Bounds of a block, in texts and bytes of text.
 BLOCK, BLOCK_BYTES = 256, 1 << 20
-#: Bounds of the sample that recall is measured on: texts, and characters of each.
-SAMPLE, SAMPLE_CHARS = 1024, 20_000
-#: How many sampled texts the expectation at the threshold weighs as much as, where few of the sample have links.
+#: How many texts the expectation at the threshold weighs as much as, where few have links.
 PRIOR = 20
+#: What a link or a text counts as in the sums of recall: whole numbers, so a sum does not depend on its order.
+UNIT = 1 << 30
 #: A null id sorts behind all others.
 NO_ID = 2**63 - 1
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.random.default_rng(5).integers(0, 2**63, GRAM, dtype="u8") | np.uint64(1)
 _PERMUTE = np.random.default_rng(6).integers(0, 2**63, TREES * DEPTH, dtype="u8") | np.uint64(1)
-#: Bytes of a run, and bits that the sample's shingles are looked up by first.
+#: Bytes of a run, and bits that a sample's shingles are looked up by first.
 RUN, BITS = 4 * DEPTH, 22
 
 
@@ -104,7 +105,29 @@ def expected_recall(depth: int, similarity: float = float(THRESHOLD)) -> float:
     return 1 - (1 - similarity**depth) ** TREES
 
 
-# -- the sample, and the depth
+# -- the depth
+
+
+def weighed(total: np.ndarray, n: int) -> list[float]:
+    """Recall by depth 0 .. DEPTH: the mean over n texts whose recalls add up to total, and PRIOR more of the expected one."""
+    return [float((total[d] + PRIOR * expected_recall(d)) / (n + PRIOR)) for d in range(DEPTH + 1)]
+
+
+def deepest(recall: list[float], target: float = TARGET) -> tuple[int, float]:
+    """Shorten whole runs value by value until the recall reaches the target; that depth, and its recall."""
+    depth = DEPTH
+    while depth > 1 and recall[depth] < target:
+        depth -= 1
+    return depth, recall[depth]
+
+
+def chances(similarity: np.ndarray, depth: int) -> np.ndarray:
+    """How many links found at this depth stand for, by depth 0 .. DEPTH that these would be found at, in UNITs; depth 0 finds all."""
+    p = 1 - (1 - similarity[:, None] ** np.arange(DEPTH + 1)) ** TREES
+    return np.rint(UNIT * p / p[:, depth, None]).astype("i8")
+
+
+# -- recall against brute force over given texts; the queries measure it over all texts instead (_measured)
 
 
 @dataclass
@@ -160,45 +183,28 @@ def measured_recall(counts: dict[int, int]) -> list[float]:
     for key, n in counts.items():
         by.setdefault(key // (DEPTH + 1), np.zeros(DEPTH + 1))[key % (DEPTH + 1)] += n
     shares = [np.cumsum(x[::-1])[::-1] / x.sum() for x in by.values()]
-    total = np.sum(shares, axis=0) if shares else np.zeros(DEPTH + 1)
-    return [float((total[d] + PRIOR * expected_recall(d)) / (len(shares) + PRIOR)) for d in range(DEPTH + 1)]
+    return weighed(np.sum(shares, axis=0) if shares else np.zeros(DEPTH + 1), len(shares))
 
 
 def fit_depth(counts: dict[int, int], target: float = TARGET) -> tuple[int, float]:
-    """Shorten whole runs value by value until the recall reaches the target; that depth, and its recall."""
-    recall = measured_recall(counts)
-    depth = DEPTH
-    while depth > 1 and recall[depth] < target:
-        depth -= 1
-    return depth, recall[depth]
-
-
-def _draw(named: DataFrame) -> list[str]:
-    """At most SAMPLE different texts of at most SAMPLE_CHARS characters, those of the smallest hashes."""
-    short = named.where(F.length("text") <= SAMPLE_CHARS).select(F.xxhash64("text", F.lit(31)).alias("h"), "text")
-    n = max(1, short.count())
-    share = F.pmod("h", F.lit(1 << 30)) / (1 << 30)
-    few = short.where(share <= 1.5 * SAMPLE / n).groupBy("h").agg(F.first("text").alias("text"))
-    return [r["text"] for r in few.orderBy(share, "h").limit(SAMPLE).collect()]
+    return deepest(measured_recall(counts), target)
 
 
 # -- signatures and tries
 
 
-def _sign(batches: Iterator[pa.RecordBatch], sample: Sample) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = _Words()
     for whole in batches:
         for batch in slices(whole, "text", 4096, 1 << 24):
-            digests, runs, links, sizes = [], [], [], []
+            digests, runs, sizes = [], [], []
             for text in batch.column("text").to_pylist():
                 digest, found = shingles(text, words)
                 digests.append(digest)
                 sizes.append(len(text))
-                run = runs_of(found) if len(found) else None
-                runs.append(run.tobytes() if run is not None else None)
-                links.append(sampled_links(digest, found, run, sample) if run is not None else [])
-            cols = [batch.column("doc"), batch.column("mark"), pa.array(digests, pa.binary()), pa.array(runs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(links, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc", "mark", "digest", "runs", "chars", "links"])
+                runs.append(runs_of(found).tobytes() if len(found) else None)
+            cols = [batch.column("doc"), batch.column("mark"), pa.array(digests, pa.binary()), pa.array(runs, pa.binary()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc", "mark", "digest", "runs", "chars"])
 
 
 def _matched(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
@@ -256,8 +262,8 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 # -- verification
 
 
-def linked(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, threshold: Fraction = THRESHOLD) -> np.ndarray:
-    """Which of sets[rows] x sets[cols] have a Jaccard similarity of the threshold or more, in exact integers."""
+def overlap(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sets[rows] x sets[cols]: how many members a pair shares, and how many its two sets have in sum."""
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
@@ -273,8 +279,17 @@ def linked(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, threshold
         x[owner[here], place[here] - low] = 1
         shared += x[rows] @ x[cols].T
     size = np.array([len(s) for s in sets], "i8")
+    return np.rint(shared).astype("i8"), size[rows][:, None] + size[cols][None, :]
+
+
+def linked(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, threshold: Fraction = THRESHOLD) -> np.ndarray:
+    """Which of sets[rows] x sets[cols] have a Jaccard similarity of the threshold or more, in exact integers."""
+    return similar(*overlap(sets, rows, cols), threshold)
+
+
+def similar(shared: np.ndarray, both: np.ndarray, threshold: Fraction = THRESHOLD) -> np.ndarray:
     p, q = threshold.numerator, threshold.denominator
-    return np.rint(shared).astype("i8") * (p + q) >= p * (size[rows][:, None] + size[cols][None, :])
+    return shared * (p + q) >= p * both
 
 
 def _roots(adjacent: np.ndarray) -> np.ndarray:
@@ -291,20 +306,28 @@ def _roots(adjacent: np.ndarray) -> np.ndarray:
     return root
 
 
-def _verify_unit(low: int, high: int, held: dict[int, tuple[int, str, bytes]], depth: int, words: dict) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Texts of a unit, their verified links between blocks low and high, and the smallest text each is linked to."""
+def _verify_unit(low: int, high: int, held: dict[int, tuple[int, str, bytes]], depth: int, words: dict) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Texts of a unit, their verified links between blocks low and high, the smallest text each is linked to, and what
+    its links stand for (chances)."""
     nodes = sorted(held)
     of = np.array([held[n][0] for n in nodes])
     a, b = np.flatnonzero(of == low), np.flatnonzero(of == high)
     met = np.zeros((len(nodes), len(nodes)), bool)
+    stand = np.zeros((len(nodes), DEPTH + 1), "i8")
     if len(nodes) > 1 and len(a) and len(b):
         prefix = np.frombuffer(b"".join(held[n][2] for n in nodes), ">u4").reshape(len(nodes), TREES, DEPTH)[:, :, :depth]
         key = np.unique(np.ascontiguousarray(prefix).view(f"S{4 * depth}").reshape(-1), return_inverse=True)[1].reshape(len(nodes), TREES)
         share = (key[a][:, None, :] == key[b][None, :, :]).any(axis=2) & (a[:, None] != b[None, :])
         if share.any():
-            met[np.ix_(a, b)] = share & linked([shingles(held[n][1], words)[1] for n in nodes], a, b)
+            shared, both = overlap([shingles(held[n][1], words)[1] for n in nodes], a, b)
+            x, y = np.nonzero(share & similar(shared, both))
+            met[a[x], b[y]] = True
+            each = chances(shared[x, y] / (both - shared)[x, y], depth)
+            np.add.at(stand, a[x], each)
+            if low != high:  # within a block, a pair is met from either side
+                np.add.at(stand, b[y], each)
     met |= met.T
-    return nodes, met.sum(axis=1), np.array(nodes, "i8")[_roots(met)]
+    return nodes, met.sum(axis=1), np.array(nodes, "i8")[_roots(met)], stand
 
 
 def _verify(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
@@ -312,8 +335,9 @@ def _verify(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Record
     words, unit, held = _Words(), None, {}
 
     def done() -> pa.RecordBatch:
-        cols = _verify_unit(*unit, held, depth, words)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["node", "links", "root"])
+        *cols, stand = _verify_unit(*unit, held, depth, words)
+        stood = pa.array([x if x[0] else None for x in stand.tolist()], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), stood], ["node", "links", "root", "stand"])
 
     for whole in batches:
         for batch in slices(whole, "text", 1024, 1 << 23):
@@ -340,35 +364,50 @@ def _units(near: DataFrame, home: DataFrame) -> DataFrame:
     return units.unionByName(home.select(F.col("block").alias("low"), F.col("block").alias("high"), "node", "block"))
 
 
+def _measured(verified: DataFrame) -> list[float]:
+    """Recall by depth over all texts with links, from what their links stand for."""
+    by = verified.where("stand is not null").groupBy("node").agg(*[F.sum(F.col("stand")[d]).alias(f"s{d}") for d in range(DEPTH + 1)])
+    share = [F.coalesce(F.sum(F.floor(F.col(f"s{d}") / F.col("s0") * UNIT)), F.lit(0)) for d in range(DEPTH + 1)]
+    *total, n = by.agg(*share, F.count(F.lit(1))).first()
+    return weighed(np.array(total) / UNIT, n)
+
+
+def _round(kept: DataFrame, texts: DataFrame, named: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """The texts that share a prefix of this depth with others, as (node, doc, mark, runs), and their verified rows."""
+    parts = partitions(kept.sparkSession)
+    keyed = kept.select(F.xxhash64("tree", F.substring("run", 1, 4 * depth)).alias("bucket"), "node", "chars")
+    buckets = materialise(keyed.groupBy("bucket").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    near = materialise(join_groups(keyed, buckets, ["bucket"], "n").where("n is not null").select("bucket", "node", "chars", "least"))
+    labelled = near.groupBy("node").agg(F.min("least").alias("label"), F.first("chars").alias("chars"))
+    home = _blocks(labelled, parts)
+    members = materialise(home.join(texts, "node").select("node", "doc", "mark", "runs"))
+    whole = named.join(members, ["doc", "mark"]).select("node", "text", "runs")
+    dealt = _units(near, home).join(whole, "node").repartition(parts, "low", "high").sortWithinPartitions("low", "high", "node")
+    return members, materialise(dealt.mapInArrow(lambda it: _verify(it, depth), "node long, links long, root long, stand array<long>"))
+
+
 def _judge(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The rows' (doc, mark, digest), and of each digest what there is to say."""
-    spark, parts = docs.sparkSession, partitions(docs.sparkSession)
+    parts = partitions(docs.sparkSession)
     named = _named(docs, id_col, text_col)
-    sent = spark.sparkContext.broadcast(build_sample(_draw(named)))
-    rows = materialise(named.mapInArrow(lambda it: _sign(it, sent.value), "doc long, mark long, digest binary, runs binary, chars long, links array<int>"))
-    counts = rows.select(F.explode("links").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    depth, _ = fit_depth({r["k"]: r["n"] for r in counts.collect()})
+    rows = materialise(named.mapInArrow(_sign, "doc long, mark long, digest binary, runs binary, chars long"))
     by = rows.groupBy("digest", "runs").agg(F.min(F.struct("doc", "mark", "chars")).alias("best"), F.count(F.lit(1)).alias("copies"))
     texts = materialise(by.select("digest", "runs", "best.*", "copies", F.monotonically_increasing_id().alias("node")))
+    if not rows.groupBy("doc", "mark").count().where("count > 1").isEmpty():
+        named = named.dropDuplicates(["doc", "mark"])  # repeated rows are folded before they meet in one task
 
-    # The tries: every run of every text, sorted. What has no neighbour is gone after this.
-    order = ["tree", "run", "node"]
+    # The tries: every run of every text, sorted. What has no neighbour at the depth that does for any link is gone after this.
+    least, order = deepest([expected_recall(d) for d in range(DEPTH + 1)])[0], ["tree", "run", "node"]
     trie = texts.where("runs is not null").select("node", "chars", "runs", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     trie = trie.select("tree", F.expr(f"substring(runs, tree * {RUN} + 1, {RUN})").alias("run"), "node", "chars")
     dealt = trie.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    kept = dealt.mapInArrow(lambda it: _matched(it, depth), "tree int, run binary, node long, chars long")
-    kept = materialise(kept.select(F.xxhash64("tree", F.substring("run", 1, 4 * depth)).alias("bucket"), "node", "chars"))
-    buckets = materialise(kept.groupBy("bucket").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    near = materialise(join_groups(kept, buckets, ["bucket"], "n").where("n is not null").select("bucket", "node", "chars", "least"))
+    kept = materialise(dealt.mapInArrow(lambda it: _matched(it, least), "tree int, run binary, node long, chars long"))
 
-    labelled = near.groupBy("node").agg(F.min("least").alias("label"), F.first("chars").alias("chars"))
-    home = _blocks(labelled, parts)
-    members = materialise(home.join(texts, "node").select("node", "doc", "mark", "runs"))
-    if not rows.groupBy("doc", "mark").count().where("count > 1").isEmpty():
-        named = named.dropDuplicates(["doc", "mark"])  # repeated rows are folded before they meet in one task
-    whole = named.join(members, ["doc", "mark"]).select("node", "text", "runs")
-    dealt = _units(near, home).join(whole, "node").repartition(parts, "low", "high").sortWithinPartitions("low", "high", "node")
-    verified = materialise(dealt.mapInArrow(lambda it: _verify(it, depth), "node long, links long, root long"))
+    depth = DEPTH
+    members, verified = _round(kept, texts, named, depth)
+    while depth > least and (fit := deepest(_measured(verified))[0]) < depth:
+        depth = max(fit, least)
+        members, verified = _round(kept, texts, named, depth)
 
     group = components(verified.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component", "class")
     links = verified.groupBy("node").agg(F.sum("links").alias("links")).join(group, "node", "left").join(members.drop("runs"), "node")

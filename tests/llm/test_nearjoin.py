@@ -163,6 +163,39 @@ def test_repeated_rows_that_differ_elsewhere(spark):
     assert len(kept) == 1 and kept.pop()[0] == 7
 
 
+def test_recall_is_measured_over_all_texts(make, monkeypatch):
+    # Texts of any length count: one pair here has over 20,000 characters a text.
+    long = prose(40, 5000)
+    texts = sorted({*variants(11, prose(9, 120), 40, 4), *variants(12, prose(10, 40), 12, 1), long, long + " end", *(prose(500 + k, 30) for k in range(30))})
+    sets = [N.shingles(t, N._Words())[1] for t in texts]
+    runs = [N.runs_of(x) for x in sets]
+    stand = {}
+    for a in range(len(texts)):
+        for b in range(len(texts)):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if a != b and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both) and N.common_prefix(runs[a], runs[b]).max() == N.DEPTH:
+                s = both / (len(sets[a]) + len(sets[b]) - both)
+                p = np.array([N.expected_recall(d, s) for d in range(N.DEPTH + 1)])
+                stand[a] = stand.get(a, 0) + p / p[N.DEPTH]
+    want = N.weighed(sum(x / x[0] for x in stand.values()), len(stand))
+    measured, real = [], N._measured
+    monkeypatch.setattr(N, "_measured", lambda df: measured.append(real(df)) or measured[-1])
+    monkeypatch.setattr(N, "BLOCK", 8)
+    got(make(list(enumerate(texts))).repartition(5))
+    assert texts.index(long) in stand and np.allclose(measured[0], want, atol=1e-6)
+
+
+def test_the_prefix_shortens_by_what_all_links_say(make, monkeypatch):
+    depths, real = [], N._round
+    monkeypatch.setattr(N, "_round", lambda *a: depths.append(a[-1]) or real(*a))
+    alike = list(enumerate(variants(13, prose(60, 300), 110, 2)))
+    assert got(make(alike)) == brute(alike) and depths == [N.DEPTH]
+    depths.clear()
+    apart = [(k, t) for k in range(40) for t in (prose(700 + k, 49), " ".join(prose(700 + k, 49).split(" ")[:-9] + ["x"] * 4))]
+    got(make(list(enumerate(t for _, t in apart))))
+    assert depths == [N.DEPTH, N.DEPTH - 1]
+
+
 def test_components(spark):
     from folio.llm.common import components
 
