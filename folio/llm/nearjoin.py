@@ -2,9 +2,9 @@
 
 A text's set of five-word shingles gets one MinHash signature, cut into TREES runs of DEPTH values. The runs of a tree,
 sorted, are its prefix trie: texts that share the first k values of a run are neighbours there. Matching starts from
-whole runs and shortens the prefix value by value until the recall reaches the target (_judge): recall is measured over
-all texts, without a sample, from the exact similarity of every link that has been found, which says how likely it is to
-be found at each depth. A link that is found with chance p stands for 1/p links, so those not found are counted too.
+whole runs and shortens the prefix value by value until the recall of every text reaches the target (_judge): recall is
+measured over all texts, without a sample, from the exact similarity of every link that has been found, which says how
+likely it is to be found at each depth. A link found with chance p stands for 1/p links, so those not found count too.
 
 Candidates are never listed as pairs. Texts with neighbours are ordered by the least text that they share a prefix with,
 and cut into blocks of at most BLOCK texts that start within BLOCK_BYTES, however many partitions there are. A unit of work is a block, or two blocks between which some
@@ -34,9 +34,9 @@ GRAM, THRESHOLD = 5, Fraction(4, 5)
 TREES, DEPTH, TARGET = 16, 6, 0.998
 #: Bounds of a block, in texts and bytes of text.
 BLOCK, BLOCK_BYTES = 256, 1 << 20
-#: How many texts the expectation at the threshold weighs as much as, where few have links.
+#: How many sampled texts the expectation at the threshold weighs as much as, where few of a sample have links.
 PRIOR = 20
-#: What a link or a text counts as in the sums of recall: whole numbers, so a sum does not depend on its order.
+#: What a link counts as in the sums of recall: whole numbers, so a sum does not depend on its order.
 UNIT = 1 << 30
 #: A null id sorts behind all others.
 NO_ID = 2**63 - 1
@@ -108,11 +108,6 @@ def expected_recall(depth: int, similarity: float = float(THRESHOLD)) -> float:
 # -- the depth
 
 
-def weighed(total: np.ndarray, n: int) -> list[float]:
-    """Recall by depth 0 .. DEPTH: the mean over n texts whose recalls add up to total, and PRIOR more of the expected one."""
-    return [float((total[d] + PRIOR * expected_recall(d)) / (n + PRIOR)) for d in range(DEPTH + 1)]
-
-
 def deepest(recall: list[float], target: float = TARGET) -> tuple[int, float]:
     """Shorten whole runs value by value until the recall reaches the target; that depth, and its recall."""
     depth = DEPTH
@@ -183,7 +178,8 @@ def measured_recall(counts: dict[int, int]) -> list[float]:
     for key, n in counts.items():
         by.setdefault(key // (DEPTH + 1), np.zeros(DEPTH + 1))[key % (DEPTH + 1)] += n
     shares = [np.cumsum(x[::-1])[::-1] / x.sum() for x in by.values()]
-    return weighed(np.sum(shares, axis=0) if shares else np.zeros(DEPTH + 1), len(shares))
+    total = np.sum(shares, axis=0) if shares else np.zeros(DEPTH + 1)
+    return [float((total[d] + PRIOR * expected_recall(d)) / (len(shares) + PRIOR)) for d in range(DEPTH + 1)]
 
 
 def fit_depth(counts: dict[int, int], target: float = TARGET) -> tuple[int, float]:
@@ -365,11 +361,10 @@ def _units(near: DataFrame, home: DataFrame) -> DataFrame:
 
 
 def _measured(verified: DataFrame) -> list[float]:
-    """Recall by depth over all texts with links, from what their links stand for."""
+    """Recall by depth of the text that has the least, of all texts with links; without any, the threshold's expectation."""
     by = verified.where("stand is not null").groupBy("node").agg(*[F.sum(F.col("stand")[d]).alias(f"s{d}") for d in range(DEPTH + 1)])
-    share = [F.coalesce(F.sum(F.floor(F.col(f"s{d}") / F.col("s0") * UNIT)), F.lit(0)) for d in range(DEPTH + 1)]
-    *total, n = by.agg(*share, F.count(F.lit(1))).first()
-    return weighed(np.array(total) / UNIT, n)
+    worst = by.agg(*[F.min(F.col(f"s{d}") / F.col("s0")) for d in range(DEPTH + 1)]).first()
+    return [expected_recall(d) if x is None else x for d, x in enumerate(worst)]
 
 
 def _round(kept: DataFrame, texts: DataFrame, named: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
