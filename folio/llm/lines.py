@@ -19,10 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, id_key, materialise, partitions, text_of
+from .common import SPACES, id_key, materialise, partitions, slices, text_of
 
 #: A null id counts as one document, smaller than all others.
 NO_ID = -(2**63)
+#: Texts are taken up in parts of a batch: at most so many, and so many bytes unless one text alone has more.
+PART_ROWS, PART_BYTES = 256, 1 << 20
 LINES = "h1 long, h2 long, doc long, mark long, pos int"
 MARKS = "kind int, h1 long, h2 long, doc long, mark long, pos int, part int, n long, most long, least long"
 
@@ -32,10 +34,15 @@ def line_key(line: str) -> str:
     return line.strip(SPACES).encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from slices(batch, "text", PART_ROWS, PART_BYTES)
+
+
 def _hash_lines(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     names = ["h1", "h2", "doc", "mark", "pos"]
     digest = xxhash.xxh3_128_digest
-    for batch in batches:
+    for batch in _parts(batches):
         keys, owner, at = bytearray(), [], []
         for i, text in enumerate(batch.column("text").to_pylist()):
             for pos, line in enumerate(text.split("\n")):
@@ -140,9 +147,10 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _to_bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        maps = []
-        for at in batch.column("at").to_pylist():
-            keep = np.ones((max(at) // 8 + 1) * 8, bool)
+        maps, lists = [], batch.column("at")
+        ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        for at in (values[s:e] for s, e in zip(ends[:-1], ends[1:])):
+            keep = np.ones((int(at.max()) // 8 + 1) * 8, bool)
             keep[at] = False
             maps.append(zlib.compress(np.packbits(keep, bitorder="little").tobytes(), 1))
         yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("mark"), pa.array(maps, pa.binary())], ["doc", "mark", "bitmap"])
@@ -169,7 +177,7 @@ def apply_bitmap(text: str, bitmap: bytes | None) -> tuple[int, list[str]]:
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _parts(batches):
         total, dropped, kept = [], [], []
         for text, bitmap in zip(batch.column("text").to_pylist(), batch.column("bitmap").to_pylist()):
             n, lines = apply_bitmap(text, bitmap)
@@ -188,6 +196,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts as one document smaller than all others. Other columns are ignored; an empty table gives an empty result.
     """
     maps = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs)
-    met = _named(docs, id_col, text_col).join(maps, ["doc", "mark"], "left").select("doc", "text", "bitmap")
+    # A document has one bitmap at most, so a partition's are few and small: they are hashed, and no text is sorted.
+    met = _named(docs, id_col, text_col).join(maps.hint("shuffle_hash"), ["doc", "mark"], "left").select("doc", "text", "bitmap")
     done = met.mapInArrow(_apply, "doc long, n_lines long, n_dropped long, kept_text string")
     return done.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias(id_col), "n_lines", "n_dropped", "kept_text")
