@@ -622,9 +622,7 @@ def _to_string(arg: object, env: Env) -> Typed:
     if family(v.kind) in ("array", "object"):
         raise BadValue(f"$toString of {alias(v.kind)}")
     if _is_date(v):
-        whole, at = F.pmod(_millis(v), F.lit(1000)) == 0, _utc(v)
-        made = F.when(whole, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
-        return Typed(made, STRING)
+        return Typed(_date_text(v), STRING)
     if isinstance(v.kind, FLOATS):
         return Typed(_plain_double(v.col.cast(DOUBLE)), STRING)
     return Typed(v.col.cast(STRING), STRING)
@@ -642,6 +640,14 @@ def _plain_double(x: Column) -> Column:
 # -- dates
 
 
+def _date_text(v: Typed) -> Column:
+    """A date in UTC as text, years outside 0 to 9,999 in their plain digits. date_format would read the session's zone."""
+    millis, text = F.pmod(_millis(v), F.lit(1000)), F.replace(F.substring_index(_utc(v).cast(STRING), ".", 1), F.lit(" "), F.lit("T"))
+    signed = text.startswith("+") | text.startswith("-")
+    digits = F.when(signed, F.regexp_replace(text, r"^\+|(?<=^-)0+(?=\d)", "")).otherwise(text)
+    return F.concat(digits, F.when(millis == 0, F.lit("Z")).otherwise(F.concat(F.lit("."), F.lpad(millis.cast(STRING), 3, "0"), F.lit("Z"))))
+
+
 def _part(name: str, made: Callable[[Column], Column]) -> None:
     def build(arg: object, env: Env) -> Typed:
         v = _args(arg, env, 1, 1, name)[0].as_null()
@@ -655,12 +661,13 @@ def _part(name: str, made: Callable[[Column], Column]) -> None:
 
 
 def _utc(v: Typed) -> Column:
-    """A date as Spark's functions read it, in UTC whatever zone the session is in."""
+    """A date as Spark's functions read it, in UTC whatever zone the session is in. Elsewhere it has a type without zone."""
+    if not isinstance(v.kind, T.TimestampType):
+        return v.col.cast("timestamp_ntz")
     session = SparkSession.getActiveSession()
-    if not isinstance(v.kind, T.TimestampType) or session is None or session.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "GMT", "Z"):
+    if session is None or session.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "GMT", "Z"):
         return v.col
-    seconds = F.unix_micros(v.col).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(20,0)")
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+    return F.timestamp_add("MICROSECOND", F.unix_micros(v.col), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 for _name, _made in {

@@ -195,13 +195,12 @@ pipeline("expr_ltrim_rand", "part", [{"$project": {"l": {"$ltrim": {"input": "$p
 
 
 def _in_zone(t: Tables, stages: list[dict]) -> DataFrame:
-    """The stages compiled and run in a session of another zone; its rows, so that the session's own zone is left alone."""
+    """The stages compiled while the session is in another zone, which Spark fixes in a plan as it is made; run like any other."""
     zone = t.spark.conf.get("spark.sql.session.timeZone")
     t.spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
         events = t["events"].df().select("event_id", F.timestamp_seconds(F.col("event_id") * 40013).alias("at"))
-        done = Collection(events, "event_id", plain=True).aggregate(stages).df
-        return t.spark.createDataFrame(done.toPandas(), done.schema)
+        return Collection(events, "event_id", plain=True).aggregate(stages).df
     finally:
         t.spark.conf.set("spark.sql.session.timeZone", zone)
 

@@ -182,6 +182,37 @@ def test_whole_powers_are_exact(collection):
     assert [(r["p"], r["q"], r["z"]) for r in got] == [(d["b"] ** 39, (abs(d["b"]) % 2) * (1 if d["b"] > 0 else -1), 1) for d in docs]
 
 
+#: Seconds: within the hours that New York and Sao Paulo skip in spring, before the epoch, past year 9,999 and 33,658, none.
+MOMENTS = {1173581290: "2007-03-11T02:48:10Z", 1540087200: "2018-10-21T02:00:00Z", 1541293200: "2018-11-04T01:00:00Z", -62167219200: "0000-01-01T00:00:00Z", -62167219201: "-1-12-31T23:59:59Z", -1: "1969-12-31T23:59:59Z", 253402300800: "10000-01-01T00:00:00Z", 1001881985856: "33718-05-18T07:37:36Z", None: None}
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "America/Sao_Paulo"])
+def test_dates_are_those_of_utc_in_any_zone(spark, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = spark.createDataFrame(list(enumerate(MOMENTS)), "id long, s long").selectExpr("id", "timestamp_seconds(s) AS at", "timestamp_millis(s * 1000 + 50) AS ms", "date_from_unix_date(CAST(floor(s / 86400) AS INT)) AS day", "timestamp_ntz '1970-01-01 00:00:00' + make_dt_interval(CAST(floor(s / 86400) AS INT), 0, 0, CAST(pmod(s, 86400) AS DECIMAL(18, 6))) AS free")
+        made = Collection(rows, "id", plain=True).aggregate([{"$project": {"t": {"$toString": "$at"}, "ms": {"$toString": "$ms"}, "day": {"$toString": "$day"}, "free": {"$toString": "$free"}, "y": {"$year": "$at"}, "h": {"$hour": "$at"}, "dh": {"$hour": "$day"}, "m": {"$millisecond": "$ms"}}}]).df
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for got, want in zip(made.orderBy("id").collect(), MOMENTS.values()):
+        if want is None:
+            assert all(x is None for x in got[1:])
+        else:
+            assert (got.t, got.ms, got.day, got.free) == (want, want[:-1] + ".050Z", want.split("T")[0] + "T00:00:00Z", want)
+            assert (got.y, got.h, got.dh, got.m) == (int(want[:-16]), int(want.split("T")[1][:2]), 0, 50)
+
+
+@pytest.mark.parametrize("ids", [[0, 29330, 30116, 31703], [6332940, 6333000, 7_000_000], [26546070, -5], [3, None]])
+def test_dates_in_another_zone_agree_with_sql(spark, tmp_path, ids):
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    name = "expr_dates_in_another_zone"
+    df = queries.QUERIES[name](spark, str(tmp_path))
+    assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+    want = duckdb.connect().execute(f"WITH events AS (SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')) {queries.ORACLES[name]}").fetchall()
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want))
+    assert "parquet" in df._jdf.queryExecution().executedPlan().toString().lower()  # the scan itself: no rows came by the driver
+
+
 def test_missing_values_are_not_collected(collection):
     docs = [{"g": 1, "v": None}, {"g": 1, "v": 3}, {"g": 1, "v": None}, {"g": 1, "v": 2}, {"g": 2, "v": None}]
     spec = {"_id": "$g", "p": {"$push": "$v"}, "s": {"$addToSet": "$v"}, "f": {"$firstN": {"input": "$v", "n": 1}}, "l": {"$lastN": {"input": "$v", "n": 5}}}
